@@ -10,12 +10,10 @@ beyond that ANSI arithmetic stops the job instead of giving a wrong number.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-_UNIT_LIMIT = 1e13  # larger values (and infinities) go through the remainder alone
+_UNIT_LIMIT = "1e13"  # larger values (and infinities) go through the remainder alone
 
 
 @dataclass(frozen=True)
@@ -43,42 +41,40 @@ class Measure:
     def _stem(self) -> str:
         return f"{self.only}__{self.column}" if self.only else self.column
 
-    def inputs(self) -> dict[str, Column]:
-        """Columns to project before grouping, so that they are computed once per row."""
+    def inputs(self) -> dict[str, str]:
+        """Expressions to project before grouping, so that they are computed once per row."""
         if self.how == "rows":
             return {}
-        value = F.col(self.column)
-        if self.only:
-            value = F.when(F.col(self.only) == 1, value)
+        value = f"CASE WHEN {self.only} = 1 THEN {self.column} END" if self.only else self.column
         if self.how == "count" or self.decimals is None:
             return {self._stem: value}
-        factor = F.lit(10.0**self.decimals)
-        units = F.when(F.abs(value) < _UNIT_LIMIT, F.rint(value * factor)).otherwise(
-            F.when(value.isNotNull(), F.lit(0.0))
-        )
+        factor = f"{10**self.decimals}D"
+        units = f"CASE WHEN abs({value}) < {_UNIT_LIMIT} THEN rint(({value}) * {factor}) " \
+                f"WHEN {self.column} IS NOT NULL{self._kept} THEN 0D END"
         return {
-            f"{self._stem}__units": units.cast("long"),
-            f"{self._stem}__rest": value - units / factor,
+            f"{self._stem}__units": f"CAST({units} AS BIGINT)",
+            f"{self._stem}__rest": f"({value}) - ({units}) / {factor}",
         }
 
-    def combine(self) -> Column:
+    @property
+    def _kept(self) -> str:
+        return f" AND {self.only} = 1" if self.only else ""
+
+    def combine(self) -> str:
         """The aggregate over the projected inputs."""
         if self.how == "rows":
-            return F.count(F.lit(1))
+            return "count(1)"
         if self.how == "count":
-            return F.count(F.col(self._stem))
+            return f"count({self._stem})"
         if self.decimals is None:
-            value = F.col(self._stem)
-            total, present = F.sum(value), F.count(value)
-            empty = F.lit(0).cast("long")
+            total, present, nothing = f"sum({self._stem})", f"count({self._stem})", "0L"
         else:
-            units = F.col(f"{self._stem}__units")
-            scaled = F.sum(units).cast("double") / F.lit(10.0**self.decimals)
-            total, present = scaled + F.sum(F.col(f"{self._stem}__rest")), F.count(units)
-            empty = F.lit(0.0)
+            units, rest = f"{self._stem}__units", f"{self._stem}__rest"
+            total = f"(CAST(sum({units}) AS DOUBLE) / {10**self.decimals}D + sum({rest}))"
+            present, nothing = f"count({units})", "0D"
         if self.how == "sum":
-            return F.coalesce(total, empty)
-        return F.try_divide(total, present)
+            return f"coalesce({total}, {nothing})"
+        return f"try_divide({total}, {present})"
 
 
 def rows() -> Measure:
@@ -100,8 +96,14 @@ def mean(column: str, decimals: int | None = None) -> Measure:
     return Measure("mean", column, decimals)
 
 
-def all_inputs(measures) -> dict[str, Column]:
-    merged: dict[str, Column] = {}
+def named(expressions: dict[str, str]) -> list[str]:
+    """``expression AS name`` items of a select list."""
+    return [f"{expression} AS `{name}`" for name, expression in expressions.items()]
+
+
+def all_inputs(measures: Iterable[Measure]) -> list[str]:
+    """Select items of every input the measures need, each once."""
+    merged: dict[str, str] = {}
     for measure in measures:
         merged.update(measure.inputs())
-    return merged
+    return named(merged)

@@ -9,13 +9,12 @@ Hot keys are harmless in both: every measure combines before the exchange.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crmkiln.functions.measures import Measure, all_inputs, count, mean, rows, total
+from crmkiln.functions.measures import Measure, all_inputs, count, mean, named, rows, total
 
 ALL_ROWS = "all"
 
@@ -129,13 +128,12 @@ def of_source(source: str) -> list[Aggregate]:
 
 def aggregate(spec: Aggregate, processed: DataFrame) -> DataFrame:
     """One aggregate from its processed entity; rows without a key belong to no group."""
-    key = F.col(spec.key)
-    inputs = all_inputs(spec.measures.values())
+    measures = named({alias: m.combine() for alias, m in spec.measures.items()})
     return (
-        processed.where(key.isNotNull())
-        .select(key, *[column.alias(name) for name, column in inputs.items()])
-        .groupBy(key)
-        .agg(*[m.combine().alias(alias) for alias, m in spec.measures.items()])
+        processed.where(f"{spec.key} IS NOT NULL")
+        .selectExpr(spec.key, *all_inputs(spec.measures.values()))
+        .groupBy(spec.key)
+        .agg(*[F.expr(item) for item in measures])
     )
 
 
@@ -165,48 +163,39 @@ def summary_columns(source: str) -> set[str]:
     return read.union(*[m.source_columns for m in _summary_measures(source).values()])
 
 
-def _key_alias(key: str) -> str:
-    return f"by_{key}"
-
-
 def summarize(source: str, processed: DataFrame) -> DataFrame:
-    """Every aggregate of an entity in one pass: one row per key value of each grouping, and one
-    row (grouping ``all``) for the whole table."""
+    """Every aggregate of an entity in one pass: one row per key value of each grouping (keys in
+    columns ``by_<key>``), and one row (grouping ``all``) for the whole table."""
     keys = [spec.key for spec in of_source(source)]
     measures = _summary_measures(source)
-    grouped = [_key_alias(key) for key in keys]
-    # The bit of grouping_id is 0 for the column that is grouped by; the first column has the highest.
+    grouped = [f"by_{key}" for key in keys]
+    # grouping_id has a 0 bit for the column that is grouped by; the first column is the highest bit.
     everything = (1 << len(keys)) - 1
-    which = F.grouping_id()
-    grouping = F.when(which == everything, ALL_ROWS)
-    for place, key in enumerate(reversed(keys)):
-        grouping = grouping.when(which == everything - (1 << place), key)
-    return (
-        processed.select(
-            *[F.col(key).alias(_key_alias(key)) for key in keys],
-            *[column.alias(name) for name, column in all_inputs(measures.values()).items()],
-        )
-        .groupingSets([*[[F.col(name)] for name in grouped], []], *[F.col(name) for name in grouped])
-        .agg(grouping.alias("grouping"), *[m.combine().alias(name) for name, m in measures.items()])
+    which = {everything - (1 << place): key for place, key in enumerate(reversed(keys))}
+    cases = " ".join(f"WHEN {number} THEN '{key}'" for number, key in which.items())
+    items = {
+        "grouping": f"CASE grouping_id() {cases} ELSE '{ALL_ROWS}' END",
+        **{name: m.combine() for name, m in measures.items()},
+    }
+    inputs = processed.selectExpr(
+        *[f"{key} AS by_{key}" for key in keys], *all_inputs(measures.values())
+    )
+    sets = ", ".join(f"({column})" for column in grouped)
+    return processed.sparkSession.sql(
+        f"""SELECT {', '.join([*grouped, *named(items)])} FROM {{inputs}}
+            GROUP BY GROUPING SETS ({sets}, ())""",
+        inputs=inputs,
     )
 
 
-def belongs(spec: Aggregate) -> Column:
+def belongs(spec: Aggregate) -> str:
     """Condition on summary rows: the row is one group of this aggregate."""
-    return (F.col("grouping") == spec.key) & F.col(_key_alias(spec.key)).isNotNull()
-
-
-def key_column(spec: Aggregate) -> Column:
-    return F.col(_key_alias(spec.key))
+    return f"`grouping` = '{spec.key}' AND by_{spec.key} IS NOT NULL"
 
 
 def from_summary(spec: Aggregate, summary: DataFrame) -> DataFrame:
     """One aggregate out of the summary of its entity."""
-    return summary.where(belongs(spec)).select(
-        key_column(spec).alias(spec.key),
-        *[F.col(m.name).alias(alias) for alias, m in spec.measures.items()],
+    return summary.where(belongs(spec)).selectExpr(
+        f"by_{spec.key} AS {spec.key}",
+        *[f"{m.name} AS `{alias}`" for alias, m in spec.measures.items()],
     )
-
-
-def columns_of(specs: Iterable[Aggregate]) -> set[str]:
-    return set().union(*[spec.columns for spec in specs])

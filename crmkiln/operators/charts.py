@@ -6,13 +6,15 @@ carries the order, ties are settled by the label.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crmkiln import labels
 from crmkiln.functions.columns import hour_label, ordinal, round_exact
+from crmkiln.functions.measures import named
 from crmkiln.operators.aggregates import AGGREGATES, Aggregate
 
 
@@ -26,10 +28,10 @@ class Series:
     percent: bool = False
     title: str | None = None
 
-    def value(self, measured: Column) -> Column:
+    def value(self, measured: str) -> str:
         if self.digits is None:
-            return measured.cast("long")
-        return round_exact(measured * 100 if self.percent else measured, self.digits)
+            return f"CAST({measured} AS BIGINT)"
+        return round_exact(f"{measured} * 100" if self.percent else measured, self.digits)
 
 
 @dataclass(frozen=True)
@@ -55,15 +57,15 @@ class Chart:
         """Trend charts are served as titled datasets, the others as named lists."""
         return self.series[0].title is not None
 
-    def sort_key(self, key: Column, measure) -> Column:
-        """Ascending sort key; ``measure`` maps a measure name to its column."""
+    def sort_key(self, key: str, measure: Callable[[str], str]) -> str:
+        """Ascending sort key; ``measure`` gives the expression of a measure of the aggregate."""
         if self.order is None:
             return key
         if isinstance(self.order, str):
-            return -measure(self.order)
+            return f"-{measure(self.order)}"
         return ordinal(key, self.order)
 
-    def label(self, key: Column) -> Column:
+    def label(self, key: str) -> str:
         return hour_label(key) if self.spec.key == "send_hour" else key
 
 
@@ -140,56 +142,59 @@ _CHARTS = [
 CHARTS = {chart.name: chart for chart in _CHARTS}
 
 
+def _quoted(name: str) -> str:
+    return f"`{name}`"
+
+
 def chart_frame(chart: Chart, aggregated: DataFrame) -> DataFrame:
     """The chart as rows: position, label, series. ``aggregated`` is its aggregate table."""
-    key = F.col(chart.spec.key)
-    first_to_last = [chart.sort_key(key, F.col), key]
+    key = chart.spec.key
+    first_to_last = [chart.sort_key(key, _quoted), key]
     if chart.top is not None:
         # Planned as TakeOrderedAndProject: each task keeps its own top rows only.
-        aggregated = aggregated.orderBy(*first_to_last).limit(chart.top)
-    position = F.row_number().over(Window.orderBy(*first_to_last))
-    return aggregated.select(
-        position.cast("long").alias("position"),
-        chart.label(key).alias(chart.label_name),
-        *[s.value(F.col(s.measure)).alias(s.name) for s in chart.series],
-    )
+        order = [F.expr(expression) for expression in first_to_last]
+        aggregated = aggregated.orderBy(*order).limit(chart.top)
+    return aggregated.selectExpr(*named({
+        "position": f"CAST(row_number() OVER (ORDER BY {', '.join(first_to_last)}) AS BIGINT)",
+        chart.label_name: chart.label(key),
+        **{s.name: s.value(_quoted(s.measure)) for s in chart.series},
+    }))
 
 
 # --- measures the dashboard derives from charts --------------------------------
 
 
-def _share_of_largest(column: str) -> Column:
+def _share_of_largest(column: str) -> str:
     # One row per chart label: the window holds a chart, not a table.
-    return F.col(column) / F.max(column).over(Window.partitionBy()) * 100
+    return f"`{column}` / max(`{column}`) OVER () * 100"
 
 
 def funnel(chart_rows: DataFrame, column: str) -> DataFrame:
     """Funnel bar widths: share of the largest step in percent, with a visible minimum."""
-    share = _share_of_largest(column)
-    return chart_rows.withColumn(
-        "width", F.greatest(share, F.lit(float(labels.FUNNEL_MIN_WIDTH)))
-    )
+    width = f"greatest({_share_of_largest(column)}, {labels.FUNNEL_MIN_WIDTH}D)"
+    return chart_rows.selectExpr("*", f"{width} AS width")
 
 
 def traffic_share(chart_rows: DataFrame) -> DataFrame:
     """Sessions of a page as a share of the busiest page in percent."""
-    return chart_rows.withColumn("traffic_share", _share_of_largest("sessions"))
+    return chart_rows.selectExpr("*", f"{_share_of_largest('sessions')} AS traffic_share")
 
 
 def top_industries(aggregated: DataFrame) -> DataFrame:
     """The ten industries with the most revenue, out of the deals-by-industry aggregate."""
-    chart = CHARTS["deals_by_industry"]
-    shown = Chart(chart.name, chart.aggregate, chart.series, chart.order, labels.TOP_INDUSTRIES)
-    return chart_frame(shown, aggregated).drop("deal_count")
+    chart = replace(CHARTS["deals_by_industry"], top=labels.TOP_INDUSTRIES)
+    return chart_frame(chart, aggregated).drop("deal_count")
 
 
 def sla_bands(chart_rows: DataFrame) -> DataFrame:
     """Support categories with a verdict on their SLA compliance."""
-    rate = F.col("sla_compliance")
-    band = F.when(rate >= labels.SLA_GOOD, "good").when(rate >= labels.SLA_WARNING, "warning")
-    return chart_rows.withColumn("sla_band", band.otherwise("bad"))
+    return chart_rows.selectExpr(
+        "*",
+        f"""CASE WHEN sla_compliance >= {labels.SLA_GOOD} THEN 'good'
+            WHEN sla_compliance >= {labels.SLA_WARNING} THEN 'warning' ELSE 'bad' END AS sla_band""",
+    )
 
 
 def volume_in_thousands(chart_rows: DataFrame) -> DataFrame:
     """Marketing channels with their event count in thousands."""
-    return chart_rows.withColumn("volume_k", F.col("event_count") / 1000)
+    return chart_rows.selectExpr("*", "event_count / 1000 AS volume_k")

@@ -2,100 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from crmkiln import labels
 from crmkiln.functions.columns import (
-    at_least, at_most, cut, flag, month_label, quarter_label, round_scaled, weekday_label,
+    at_least, at_most, cut, flag, month_label, quarter_label, round_scaled, text, weekday_label,
 )
+from crmkiln.functions.measures import named
 
+_VISIT_TIME = {
+    "hour": "hour(`timestamp`)",
+    "day_of_week": weekday_label("`timestamp`"),
+    "month": month_label("`timestamp`"),
+}
+_ENGAGEMENT = f"(num_page_views + num_form_submissions * {labels.FORM_SUBMISSION_WEIGHT})"
+_SLA_LIMIT = "CASE priority {} END".format(
+    " ".join(f"WHEN {text(priority)} THEN {hours}" for priority, hours in labels.SLA_HOURS.items())
+)
 
-def companies(df: DataFrame) -> DataFrame:
-    staff = F.col("employee_count")
-    return df.withColumns({
-        "employee_tier": cut(staff, labels.EMPLOYEE_EDGES, labels.EMPLOYEE_LABELS),
-        "revenue_per_employee": round_scaled(F.col("annual_revenue") / at_least(staff, 1), 2),
-        "company_age": F.lit(labels.REFERENCE_YEAR) - F.col("founded_year"),
-    })
-
-
-def contacts(df: DataFrame) -> DataFrame:
-    engagement = (
-        F.col("num_page_views") + F.col("num_form_submissions") * labels.FORM_SUBMISSION_WEIGHT
-    )
-    return df.withColumns({
-        "lead_grade": cut(F.col("lead_score"), labels.GRADE_EDGES, labels.GRADE_LABELS),
-        "engagement_index": at_most(engagement, labels.ENGAGEMENT_CAP),
-    })
-
-
-def deals(df: DataFrame) -> DataFrame:
-    amount, probability = F.col("amount"), F.col("probability")
-    days = at_least(F.col("days_in_pipeline"), 1)
-    return df.withColumns({
-        "revenue_bucket": cut(amount, labels.REVENUE_EDGES, labels.REVENUE_LABELS),
-        "weighted_amount": round_scaled(amount * probability / 100, 2),
-        "velocity_score": round_scaled(probability / days, 4),
-        "is_won": flag(F.col("stage") == "Closed Won"),
-        "is_lost": flag(F.col("stage") == "Closed Lost"),
-        "quarter": quarter_label(F.col("created_at")),
-        "month": month_label(F.col("created_at")),
-    })
-
-
-def _visit_time() -> dict[str, Column]:
-    time = F.col("timestamp")
-    return {
-        "hour": F.hour(time),
-        "day_of_week": weekday_label(time),
-        "month": month_label(time),
-    }
-
-
-def marketing_events(df: DataFrame) -> DataFrame:
-    engaged = F.col("session_duration_sec") > labels.ENGAGED_EVENT_SECONDS
-    return df.withColumns({**_visit_time(), "is_engaged": flag(engaged)})
-
-
-def email_campaigns(df: DataFrame) -> DataFrame:
-    action = F.col("action")
-    return df.withColumns({
-        "is_opened": flag(action.isin("Opened", "Clicked")),
-        "is_clicked": flag(action == "Clicked"),
-        "is_bounced": flag(action == "Bounced"),
-        "is_unsub": flag(action.isin("Unsubscribed", "Spam")),
-        "month": month_label(F.col("timestamp")),
-    })
-
-
-def support_tickets(df: DataFrame) -> DataFrame:
-    allowed = F.create_map(
-        *[F.lit(item) for pair in labels.SLA_HOURS.items() for item in pair]
-    )[F.col("priority")]
-    return df.withColumns({
-        "sla_met": flag(F.col("resolution_hours") <= allowed),
-        "quarter": quarter_label(F.col("created_at")),
-    })
-
-
-def web_analytics(df: DataFrame) -> DataFrame:
-    stayed = F.col("session_duration_sec") > labels.ENGAGED_SESSION_SECONDS
-    engaged = stayed & (F.col("bounce") == 0)
-    return df.withColumns({**_visit_time(), "engaged_session": flag(engaged)})
-
-
-FEATURES = {
-    "companies": companies,
-    "contacts": contacts,
-    "deals": deals,
-    "marketing_events": marketing_events,
-    "email_campaigns": email_campaigns,
-    "support_tickets": support_tickets,
-    "web_analytics": web_analytics,
+FEATURES: dict[str, dict[str, str]] = {
+    "companies": {
+        "employee_tier": cut("employee_count", labels.EMPLOYEE_EDGES, labels.EMPLOYEE_LABELS),
+        "revenue_per_employee": round_scaled(
+            f"annual_revenue / {at_least('employee_count', 1)}", 2),
+        "company_age": f"{labels.REFERENCE_YEAR} - founded_year",
+    },
+    "contacts": {
+        "lead_grade": cut("lead_score", labels.GRADE_EDGES, labels.GRADE_LABELS),
+        "engagement_index": at_most(_ENGAGEMENT, labels.ENGAGEMENT_CAP),
+    },
+    "deals": {
+        "revenue_bucket": cut("amount", labels.REVENUE_EDGES, labels.REVENUE_LABELS),
+        "weighted_amount": round_scaled("amount * probability / 100", 2),
+        "velocity_score": round_scaled(f"probability / {at_least('days_in_pipeline', 1)}", 4),
+        "is_won": flag("stage = 'Closed Won'"),
+        "is_lost": flag("stage = 'Closed Lost'"),
+        "quarter": quarter_label("created_at"),
+        "month": month_label("created_at"),
+    },
+    "marketing_events": {
+        **_VISIT_TIME,
+        "is_engaged": flag(f"session_duration_sec > {labels.ENGAGED_EVENT_SECONDS}"),
+    },
+    "email_campaigns": {
+        "is_opened": flag("action IN ('Opened', 'Clicked')"),
+        "is_clicked": flag("action = 'Clicked'"),
+        "is_bounced": flag("action = 'Bounced'"),
+        "is_unsub": flag("action IN ('Unsubscribed', 'Spam')"),
+        "month": month_label("`timestamp`"),
+    },
+    "support_tickets": {
+        "sla_met": flag(f"resolution_hours <= {_SLA_LIMIT}"),
+        "quarter": quarter_label("created_at"),
+    },
+    "web_analytics": {
+        **_VISIT_TIME,
+        "engaged_session": flag(
+            f"session_duration_sec > {labels.ENGAGED_SESSION_SECONDS} AND bounce = 0"),
+    },
 }
 
 
 def process(name: str, df: DataFrame) -> DataFrame:
-    """An entity with its feature columns."""
-    return df.transform(FEATURES[name])
+    """An entity with its feature columns; columns of the same name are replaced."""
+    added = FEATURES[name]
+    kept = [f"`{column}`" for column in df.columns if column not in added]
+    return df.selectExpr(*kept, *named(added))

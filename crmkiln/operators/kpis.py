@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from crmkiln.functions.columns import round_exact
-from crmkiln.functions.measures import Measure, all_inputs, mean, rows, total
+from crmkiln.functions.measures import Measure, all_inputs, mean, named, rows, total
 from crmkiln.operators.aggregates import ALL_ROWS
 
 
@@ -54,27 +53,26 @@ def columns_of(source: str) -> set[str]:
 
 def _one_row(processed: DataFrame, kpis: list[Kpi]) -> DataFrame:
     inputs = all_inputs(kpi.measure for kpi in kpis)
-    return processed.select(*[column.alias(name) for name, column in inputs.items()]).agg(
-        *[kpi.measure.combine().alias(kpi.name) for kpi in kpis]
+    return processed.selectExpr(*inputs).selectExpr(
+        *named({kpi.name: kpi.measure.combine() for kpi in kpis})
     )
 
 
-def from_summary(kpi: Kpi) -> Column:
+def from_summary(kpi: Kpi) -> str:
     """Aggregate over summary rows that picks the KPI from the row of the whole table."""
-    return F.max(F.when(F.col("grouping") == ALL_ROWS, F.col(kpi.measure.name)))
+    return f"max(CASE WHEN `grouping` = '{ALL_ROWS}' THEN {kpi.measure.name} END)"
 
 
-def served(kpi: Kpi, value: Column, present: bool) -> Column:
+def served(kpi: Kpi, value: str, present: bool) -> str:
     """The KPI as served: in percent where it is a rate, and rounded. 0 for an absent table; for
     an empty one sums and counts are 0 and means unknown."""
     if not present:
-        return F.lit(0).cast("long" if kpi.digits is None else "double")
+        return "0L" if kpi.digits is None else "0D"
     if kpi.measure.how != "mean":
-        value = F.coalesce(value, F.lit(0))
+        value = f"coalesce({value}, 0)"
     if kpi.digits is None:
-        return value.cast("long")
-    value = value.cast("double")
-    return round_exact(value * 100 if kpi.percent else value, kpi.digits)
+        return f"CAST({value} AS BIGINT)"
+    return round_exact(f"{value} * 100" if kpi.percent else value, kpi.digits)
 
 
 def kpi_row(spark: SparkSession, processed: dict[str, DataFrame]) -> DataFrame:
@@ -84,18 +82,23 @@ def kpi_row(spark: SparkSession, processed: dict[str, DataFrame]) -> DataFrame:
     side by a union and a final aggregate, so no join is involved.
     """
     present = [name for name in SOURCES if name in processed]
-    parts = [_one_row(processed[name], of_source(name)) for name in present]
+    merged = side_by_side(spark, [_one_row(processed[name], of_source(name)) for name in present])
+    return merged.selectExpr(*named(
+        {kpi.name: served(kpi, kpi.name, kpi.source in present) for kpi in KPIS}
+    ))
+
+
+def side_by_side(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """The columns of several one-row frames in one row."""
     if not parts:
-        merged = spark.range(1)
-    else:
-        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        merged = union.agg(*[F.max(name).alias(name) for name in union.columns])
-    return merged.select(
-        *[served(kpi, F.col(kpi.name), kpi.source in present).alias(kpi.name) for kpi in KPIS]
-    )
+        return spark.range(1)
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return union.selectExpr(*named({name: f"any_value({name}, true)" for name in union.columns}))
 
 
 def records_loaded(kpi_frame: DataFrame) -> DataFrame:
     """Size of the core tables; marketing events and emails are not part of this figure."""
-    counted = ["total_contacts", "total_deals", "total_sessions", "total_tickets", "total_companies"]
-    return kpi_frame.select(sum((F.col(name) for name in counted), F.lit(0)).alias("records_loaded"))
+    return kpi_frame.selectExpr(
+        "total_contacts + total_deals + total_sessions + total_tickets + total_companies"
+        " AS records_loaded"
+    )

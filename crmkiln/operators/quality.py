@@ -4,59 +4,53 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from crmkiln import labels
+from crmkiln.functions.columns import text
 from crmkiln.operators import aggregates
 
-
-def _violations(rule: Column) -> Column:
-    """Rows where the rule is not known to hold."""
-    return F.count_if(~F.coalesce(rule, F.lit(False)))
-
-
-def _rules(source: str) -> dict[str, Column]:
-    return {
-        "companies": {
-            "companies.company_id is present": F.col("company_id").isNotNull(),
-            "companies.company_age is not negative": F.col("company_age") >= 0,
-        },
-        "contacts": {
-            "contacts.contact_id is present": F.col("contact_id").isNotNull(),
-            "contacts.engagement_index is within its cap":
-                F.col("engagement_index") <= labels.ENGAGEMENT_CAP,
-        },
-        "deals": {
-            "deals.deal_id is present": F.col("deal_id").isNotNull(),
-            "deals.weighted_amount is not negative": F.col("weighted_amount") >= 0,
-            "deals.is_won is 0 or 1": F.col("is_won").isin(0, 1),
-        },
-        "support_tickets": {
-            "support_tickets.sla_met is 0 or 1": F.col("sla_met").isin(0, 1),
-        },
-    }.get(source, {})
+# Rules that hold for every row.
+RULES: dict[str, dict[str, str]] = {
+    "companies": {
+        "companies.company_id is present": "company_id IS NOT NULL",
+        "companies.company_age is not negative": "company_age >= 0",
+    },
+    "contacts": {
+        "contacts.contact_id is present": "contact_id IS NOT NULL",
+        "contacts.engagement_index is within its cap":
+            f"engagement_index <= {labels.ENGAGEMENT_CAP}",
+    },
+    "deals": {
+        "deals.deal_id is present": "deal_id IS NOT NULL",
+        "deals.weighted_amount is not negative": "weighted_amount >= 0",
+        "deals.is_won is 0 or 1": "is_won IN (0, 1)",
+    },
+    "support_tickets": {"support_tickets.sla_met is 0 or 1": "sla_met IN (0, 1)"},
+}
 
 
 def columns_of(source: str) -> set[str]:
-    """Entity columns the checks of an entity need: the keys of its aggregates and base columns."""
+    """Grouping columns of an entity that the checks read."""
     return {spec.key for spec in aggregates.of_source(source)}
 
 
 def _check_entity(source: str, processed: DataFrame) -> DataFrame:
-    checks = {name: _violations(rule) for name, rule in _rules(source).items()}
+    # A rule that is not known to hold is violated.
+    checks = {
+        name: f"count_if(NOT coalesce({rule}, false))"
+        for name, rule in RULES.get(source, {}).items()
+    }
     for spec in aggregates.of_source(source):
         # An aggregate has rows exactly when some row has its key.
-        keyed = F.count(F.col(spec.key))
-        checks[f"{spec.name} is not empty"] = F.when(keyed > 0, 0).otherwise(1).cast("long")
-    named = [
-        F.struct(F.lit(name).alias("check"), violations.alias("violations"))
+        checks[f"{spec.name} is not empty"] = f"if(count({spec.key}) > 0, 0L, 1L)"
+    rows = ", ".join(
+        f"named_struct('check', {text(name)}, 'violations', {violations})"
         for name, violations in checks.items()
-    ]
-    return processed.agg(F.array(*named).alias("checks")).select(F.inline("checks"))
+    )
+    return processed.selectExpr(f"array({rows}) AS checks").selectExpr("inline(checks)")
 
 
 def check(processed: dict[str, DataFrame]) -> DataFrame:
     """All checks over the processed entities that exist: (check, violations)."""
-    parts = [_check_entity(name, df) for name, df in processed.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_check_entity(*item) for item in processed.items()])

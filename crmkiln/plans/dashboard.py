@@ -7,56 +7,63 @@ of lists, and the entities are put side by side by a union and a final aggregate
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from crmkiln.functions.columns import text
+from crmkiln.functions.measures import named
 from crmkiln.operators import kpis
-from crmkiln.operators.aggregates import belongs, key_column
+from crmkiln.operators.aggregates import belongs
 from crmkiln.operators.charts import CHARTS, Chart, Series
 
-_KEEP_NULLS = {"ignoreNullFields": "false"}
 
+def _struct(fields: dict[str, str]) -> str:
+    pairs = ", ".join(f"{text(name)}, {expression}" for name, expression in fields.items())
+    return f"named_struct({pairs})"
 
-def _ordered_rows(chart: Chart, member: Column, key: Column, measure) -> Column:
+
+def _json(document: str) -> str:
+    return f"to_json({document}, map('ignoreNullFields', 'false')) AS payload"
+
+
+def _ordered_rows(chart: Chart, member: str, key: str, measure: Callable[[str], str]) -> str:
     """Aggregate: the chart's rows as an ordered array of (label, series...)."""
-    row = F.struct(
-        chart.sort_key(key, measure).alias("sort_key"),
-        key.alias("key"),
-        chart.label(key).alias("label"),
-        *[s.value(measure(s.measure)).alias(s.name) for s in chart.series],
-    )
-    ordered = F.sort_array(F.collect_list(F.when(member, row)))
-    return F.slice(ordered, 1, chart.top) if chart.top is not None else ordered
+    row = _struct({
+        "sort_key": chart.sort_key(key, measure),
+        "key": key,
+        "label": chart.label(key),
+        **{s.name: s.value(measure(s.measure)) for s in chart.series},
+    })
+    ordered = f"sort_array(collect_list(CASE WHEN {member} THEN {row} END))"
+    return f"slice({ordered}, 1, {chart.top})" if chart.top is not None else ordered
 
 
-def _chart_rows(chart: Chart) -> Column:
+def _from_summary(chart: Chart) -> str:
     """The ordered rows of a chart as an aggregate over the summary of its entity."""
-    by_alias = chart.spec.measures
+    spec = chart.spec
     return _ordered_rows(
-        chart, belongs(chart.spec), key_column(chart.spec), lambda alias: F.col(by_alias[alias].name)
+        chart, belongs(spec), f"by_{spec.key}", lambda alias: spec.measures[alias].name
     )
 
 
-def _document(chart: Chart, rows: Column) -> Column:
+def _document(chart: Chart, rows: str) -> str:
     """Parallel lists of a chart, in the shape it is served in."""
-    text = rows["label"]
     if not chart.titled:
-        return F.struct(text.alias("labels"), *[rows[s.name].alias(s.name) for s in chart.series])
+        return _struct({
+            "labels": f"{rows}.label", **{s.name: f"{rows}.`{s.name}`" for s in chart.series}
+        })
     # VARIANT lets whole and decimal lists share one array.
-    datasets = F.array(*[
-        F.to_variant_object(F.struct(F.lit(s.title).alias("label"), rows[s.name].alias("data")))
+    datasets = ", ".join(
+        f"to_variant_object({_struct({'label': text(s.title), 'data': f'{rows}.`{s.name}`'})})"
         for s in chart.series
-    ])
-    return F.struct(text.alias("labels"), datasets.alias("datasets"))
+    )
+    return _struct({"labels": f"{rows}.label", "datasets": f"array({datasets})"})
 
 
-def _absent(chart: Chart) -> Column:
+def _absent(chart: Chart) -> str:
     """What a chart looks like when its table is absent."""
-    rest = "datasets" if chart.titled else "data"
-    empty = F.array().cast("array<string>")
-    return F.struct(empty.alias("labels"), empty.alias(rest))
+    return _struct({"labels": "array()", "datasets" if chart.titled else "data": "array()"})
 
 
 def _charts_of(source: str) -> list[Chart]:
@@ -66,23 +73,13 @@ def _charts_of(source: str) -> list[Chart]:
 def _folded(spark: SparkSession, summaries: dict[str, DataFrame]) -> DataFrame:
     """One row with the ordered rows of every chart and the raw value of every KPI."""
     parts = [
-        summary.agg(
-            *[_chart_rows(chart).alias(chart.name) for chart in _charts_of(source)],
-            *[kpis.from_summary(k).alias(f"kpi_{k.name}") for k in kpis.of_source(source)],
-        )
+        summary.selectExpr(*named({
+            **{chart.name: _from_summary(chart) for chart in _charts_of(source)},
+            **{f"kpi_{k.name}": kpis.from_summary(k) for k in kpis.of_source(source)},
+        }))
         for source, summary in summaries.items()
     ]
-    if not parts:
-        return spark.range(1).select(F.lit(True).alias("nothing"))
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return union.agg(*[F.any_value(name, True).alias(name) for name in union.columns])
-
-
-def _kpi_struct(summaries: dict[str, DataFrame]) -> Column:
-    return F.struct(*[
-        kpis.served(k, F.col(f"kpi_{k.name}"), k.source in summaries).alias(k.name)
-        for k in kpis.KPIS
-    ])
+    return kpis.side_by_side(spark, parts)
 
 
 def payload(spark: SparkSession, summaries: dict[str, DataFrame]) -> DataFrame:
@@ -90,55 +87,51 @@ def payload(spark: SparkSession, summaries: dict[str, DataFrame]) -> DataFrame:
 
     ``summaries`` maps each entity that exists to its summary.
     """
-    charts = [
-        (_document(chart, F.col(name)) if chart.spec.source in summaries else _absent(chart))
-        .alias(name)
+    figures = {
+        k.name: kpis.served(k, f"kpi_{k.name}", k.source in summaries) for k in kpis.KPIS
+    }
+    charts = {
+        name: _document(chart, name) if chart.spec.source in summaries else _absent(chart)
         for name, chart in CHARTS.items()
-    ]
-    document = F.struct(_kpi_struct(summaries).alias("kpis"), *charts)
-    return _folded(spark, summaries).select(F.to_json(document, _KEEP_NULLS).alias("payload"))
+    }
+    return _folded(spark, summaries).selectExpr(_json(_struct({"kpis": _struct(figures), **charts})))
 
 
-def _series_points(chart: Chart, series: Series) -> Column:
+def _series_points(chart: Chart, series: Series) -> str:
     """One list of a chart as an array of points."""
-
-    def point(row: Column, place: Column) -> Column:
-        return F.struct(
-            F.lit(chart.name).alias("chart"),
-            (place + 1).cast("long").alias("position"),
-            row["label"].cast("string").alias("label"),
-            F.lit(series.name).alias("series"),
-            row[series.name].cast("double").alias("value"),
-        )
-
-    return F.transform(F.col(chart.name), point)
+    point = _struct({
+        "chart": text(chart.name),
+        "position": "CAST(place + 1 AS BIGINT)",
+        "label": "CAST(row.label AS STRING)",
+        "series": text(series.name),
+        "value": f"CAST(row.`{series.name}` AS DOUBLE)",
+    })
+    return f"transform({chart.name}, (row, place) -> {point})"
 
 
 def points(spark: SparkSession, summaries: dict[str, DataFrame]) -> DataFrame:
     """The charts of the document as rows: (chart, position, label, series, value)."""
-    lists = [
+    lists = ", ".join(
         _series_points(chart, series)
         for chart in CHARTS.values()
         if chart.spec.source in summaries
         for series in chart.series
-    ]
-    return _folded(spark, summaries).select(F.inline(F.flatten(F.array(*lists))))
+    )
+    return _folded(spark, summaries).selectExpr(f"inline(flatten(array({lists})))")
 
 
-def chart_json(chart: Chart, aggregated: DataFrame | None, spark: SparkSession) -> DataFrame:
+def chart_json(spark: SparkSession, chart: Chart, aggregated: DataFrame | None) -> DataFrame:
     """One row, one column ``payload``: a single chart as JSON, from its aggregate table."""
     if aggregated is None:
-        return spark.range(1).select(F.to_json(_absent(chart)).alias("payload"))
-    present = F.col(chart.spec.key).isNotNull()
-    rows = _ordered_rows(chart, present, F.col(chart.spec.key), F.col)
-    return aggregated.agg(rows.alias("rows")).select(
-        F.to_json(_document(chart, F.col("rows")), _KEEP_NULLS).alias("payload")
-    )
+        return spark.range(1).selectExpr(_json(_absent(chart)))
+    key = chart.spec.key
+    rows = _ordered_rows(chart, f"{key} IS NOT NULL", key, lambda alias: f"`{alias}`")
+    return aggregated.selectExpr(f"{rows} AS rows").selectExpr(_json(_document(chart, "rows")))
 
 
 def kpi_json(kpi_frame: DataFrame) -> DataFrame:
     """The KPI row as JSON."""
-    return kpi_frame.select(F.to_json(F.struct("*"), _KEEP_NULLS).alias("payload"))
+    return kpi_frame.selectExpr(_json("struct(*)"))
 
 
 def write_json(document: DataFrame, path: str) -> None:

@@ -76,4 +76,4 @@ def serve_chart(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One chart as JSON from its stored aggregate."""
     chart = CHARTS[name]
     path = table_path(root, AGGREGATED, AGGREGATES[chart.aggregate].name)
-    return dashboard.chart_json(chart, read_if_present(spark, path), spark)
+    return dashboard.chart_json(spark, chart, read_if_present(spark, path))

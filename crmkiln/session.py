@@ -30,6 +30,7 @@ def local_session(cores: int | str = 8, app: str = "crmkiln", memory: str = "8g"
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
     )
     for key, value in RUNTIME_SETTINGS.items():

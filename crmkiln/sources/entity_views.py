@@ -3,209 +3,190 @@
 Each view is integer arithmetic over one large table. Attributes that live in another table
 (region, industry, country) come from left joins on the primary key of that table, so a fact row
 is never lost; ``columns`` names what the caller reads, and a lookup nobody reads is not joined.
-Spark picks broadcast or shuffle join from the size of the lookup side, and splits hot keys of a
-shuffle join (AQE skew join).
+The joins are chained on the fact side, so that each lookup side is a plain scan: Spark broadcasts
+it where its files are below the threshold, else shuffles both sides and splits hot keys (AQE skew
+join).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from crmkiln import labels
 from crmkiln.functions.columns import flag, pick, round_scaled
 
 Reader = Callable[[str], DataFrame]
+Columns = Iterable[str] | None
+
+_START = "TIMESTAMP_NTZ '2023-01-01 00:00:00'"
+
+
+# Columns the views read. With the schema given, declaring a scan opens no file. Narrower integers
+# in the files widen to bigint.
+_TABLES = {
+    "region": "r_regionkey BIGINT, r_name STRING",
+    "nation": "n_nationkey BIGINT, n_name STRING, n_regionkey BIGINT",
+    "customer": "c_custkey BIGINT, c_nationkey BIGINT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey BIGINT, s_acctbal DOUBLE",
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE,
+        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
+    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber BIGINT,
+        l_quantity DOUBLE, l_discount DOUBLE, l_returnflag STRING, l_shipdate TIMESTAMP_NTZ""",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+}
 
 
 def reader(spark: SparkSession, directory: str) -> Reader:
-    return lambda name: spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    return lambda name: spark.read.schema(_TABLES[name]).parquet(
+        f"{directory.rstrip('/')}/{name}.parquet"
+    )
 
 
-def _read_by(columns: Iterable[str] | None, *supplied: str) -> bool:
+def _reads(columns: Columns, *supplied: str) -> bool:
     return columns is None or not set(supplied).isdisjoint(columns)
 
 
 def _with_region(base: DataFrame, read: Reader, nation_key: str, wanted: bool) -> DataFrame:
-    """Add ``region`` by way of the nation. The joins are chained on the fact side, so that each
-    lookup side is a plain scan whose file size decides how it is joined."""
+    """Add ``region`` by way of the nation."""
     if not wanted:
-        return base.withColumn("region", F.lit(None).cast("string"))
-    nation = read("nation").select("n_nationkey", "n_regionkey")
-    region = read("region").select("r_regionkey", F.col("r_name").alias("region"))
-    return base.join(nation, F.col(nation_key) == F.col("n_nationkey"), "left").join(
-        region, F.col("n_regionkey") == F.col("r_regionkey"), "left"
-    )
-
-
-def _months(number: Column) -> Column:
-    return F.make_ym_interval(F.lit(0), number.cast("int"))
-
-
-def _days(number: Column) -> Column:
-    return F.make_dt_interval(number.cast("int"))
-
-
-def _hours(number: Column) -> Column:
-    return F.make_dt_interval(F.lit(0), number.cast("int"))
-
-
-def _start() -> Column:
-    return F.lit("2023-01-01 00:00:00").cast("timestamp_ntz")
-
-
-def companies(read: Reader, columns: Iterable[str] | None = None) -> DataFrame:
-    key = F.col("s_suppkey")
-    base = _with_region(read("supplier"), read, "s_nationkey", _read_by(columns, "region"))
-    sizes = F.array(*[F.lit(size) for size in (0, 7, 30, 120, 600, 3000, 20000)])
-    return base.select(
-        key.alias("company_id"),
-        F.col("s_name").alias("company_name"),
-        pick(labels.INDUSTRIES, key % 20).alias("industry"),
+        return base.selectExpr("*", "CAST(NULL AS STRING) AS region")
+    nation = read("nation").selectExpr(f"n_nationkey AS {nation_key}", "n_regionkey")
+    region = read("region").selectExpr("r_regionkey AS n_regionkey", "r_name AS region")
+    return base.join(nation, nation_key, "left").join(region, "n_regionkey", "left")
+
+
+def companies(read: Reader, columns: Columns = None) -> DataFrame:
+    base = _with_region(read("supplier"), read, "s_nationkey", _reads(columns, "region"))
+    sizes = "array(0, 7, 30, 120, 600, 3000, 20000)"
+    return base.selectExpr(
+        "s_suppkey AS company_id",
+        "s_name AS company_name",
+        f"{pick(labels.INDUSTRIES, 's_suppkey % 20')} AS industry",
         "region",
-        (F.element_at(sizes, (key % 7 + 1).cast("int")) + key % 3).alias("employee_count"),
-        round_scaled(F.col("s_acctbal") * 1000, 2).alias("annual_revenue"),
-        (key % 74 + 1950).alias("founded_year"),
-        (key * 104729 % 4999900 + 100).alias("website_traffic_monthly"),
-        (_start() + _days(key % 1095)).alias("created_at"),
+        f"element_at({sizes}, CAST(s_suppkey % 7 + 1 AS INT)) + s_suppkey % 3 AS employee_count",
+        f"{round_scaled('s_acctbal * 1000', 2)} AS annual_revenue",
+        "1950 + s_suppkey % 74 AS founded_year",
+        "100 + s_suppkey * 104729 % 4999900 AS website_traffic_monthly",
+        f"{_START} + make_dt_interval(CAST(s_suppkey % 1095 AS INT)) AS created_at",
     )
 
 
-def contacts(read: Reader, columns: Iterable[str] | None = None) -> DataFrame:
-    key = F.col("c_custkey")
-    base = _with_region(read("customer"), read, "c_nationkey", _read_by(columns, "region"))
-    address = F.concat(
-        F.lit("user_"), key.cast("string"), F.lit("@"), pick(labels.EMAIL_DOMAINS, key % 10)
-    )
-    return base.select(
-        key.alias("contact_id"),
-        address.alias("email"),
-        (key % 100).alias("company_id"),
-        pick(labels.JOB_TITLES, key % 16).alias("job_title"),
-        pick(labels.LEAD_SOURCES, key * 3 % 10).alias("lead_source"),
-        (key * 37 % 101).alias("lead_score"),
-        pick(labels.LIFECYCLE_STAGES, key % 7).alias("lifecycle_stage"),
+def contacts(read: Reader, columns: Columns = None) -> DataFrame:
+    base = _with_region(read("customer"), read, "c_nationkey", _reads(columns, "region"))
+    domain = pick(labels.EMAIL_DOMAINS, "c_custkey % 10")
+    return base.selectExpr(
+        "c_custkey AS contact_id",
+        f"concat('user_', c_custkey, '@', {domain}) AS email",
+        "c_custkey % 100 AS company_id",
+        f"{pick(labels.JOB_TITLES, 'c_custkey % 16')} AS job_title",
+        f"{pick(labels.LEAD_SOURCES, 'c_custkey * 3 % 10')} AS lead_source",
+        "c_custkey * 37 % 101 AS lead_score",
+        f"{pick(labels.LIFECYCLE_STAGES, 'c_custkey % 7')} AS lifecycle_stage",
         "region",
-        (_start() + _days(key % 1095)).alias("first_touch_date"),
-        (key * 31 % 1500).alias("num_page_views"),
-        (key * 17 % 20).alias("num_form_submissions"),
+        f"{_START} + make_dt_interval(CAST(c_custkey % 1095 AS INT)) AS first_touch_date",
+        "c_custkey * 31 % 1500 AS num_page_views",
+        "c_custkey * 17 % 20 AS num_form_submissions",
     )
 
 
-def deals(read: Reader, columns: Iterable[str] | None = None) -> DataFrame:
-    key, customer, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+def deals(read: Reader, columns: Columns = None) -> DataFrame:
     base = read("orders")
-    if _read_by(columns, "industry", "region"):
-        home = read("customer").select("c_custkey", "c_nationkey")
-        base = base.join(home, customer == F.col("c_custkey"), "left")
+    if _reads(columns, "industry", "region"):
+        home = read("customer").selectExpr("c_custkey AS o_custkey", "c_nationkey")
+        base = base.join(home, "o_custkey", "left")
     else:
-        base = base.withColumn("c_nationkey", F.lit(None).cast("int"))
-    base = _with_region(base, read, "c_nationkey", _read_by(columns, "region"))
-    amount = (
-        F.when(key % 5 == 0, F.floor(price / 1000).cast("double"))
-        .when(key % 5 == 1, F.floor(price / 100).cast("double"))
-        .when(key % 5 == 2, F.floor(price / 10).cast("double"))
-        .when(key % 5 == 3, price)
-        .otherwise(round_scaled(price * 5, 2))
-    )
-    return base.select(
-        key.alias("deal_id"),
-        customer.alias("contact_id"),
-        (customer % 100).alias("company_id"),
-        F.concat(F.lit("Deal_"), key.cast("string")).alias("deal_name"),
-        amount.alias("amount"),
-        pick(labels.DEAL_STAGES, key % 6).alias("stage"),
-        pick(labels.PIPELINES, customer % 4).alias("pipeline"),
-        ((key * 37 % 1001).cast("double") / 10).alias("probability"),
-        (key * 13 % 364 + 1).alias("days_in_pipeline"),
-        F.col("o_orderdate").alias("created_at"),
-        pick(labels.INDUSTRIES, F.col("c_nationkey") % 20).alias("industry"),
+        base = base.selectExpr("*", "CAST(NULL AS BIGINT) AS c_nationkey")
+    base = _with_region(base, read, "c_nationkey", _reads(columns, "region"))
+    return base.selectExpr(
+        "o_orderkey AS deal_id",
+        "o_custkey AS contact_id",
+        "o_custkey % 100 AS company_id",
+        "concat('Deal_', o_orderkey) AS deal_name",
+        f"""CASE o_orderkey % 5
+            WHEN 0 THEN CAST(floor(o_totalprice / 1000) AS DOUBLE)
+            WHEN 1 THEN CAST(floor(o_totalprice / 100) AS DOUBLE)
+            WHEN 2 THEN CAST(floor(o_totalprice / 10) AS DOUBLE)
+            WHEN 3 THEN o_totalprice
+            ELSE {round_scaled('o_totalprice * 5', 2)} END AS amount""",
+        f"{pick(labels.DEAL_STAGES, 'o_orderkey % 6')} AS stage",
+        f"{pick(labels.PIPELINES, 'o_custkey % 4')} AS pipeline",
+        "CAST(o_orderkey * 37 % 1001 AS DOUBLE) / 10 AS probability",
+        "1 + o_orderkey * 13 % 364 AS days_in_pipeline",
+        "o_orderdate AS created_at",
+        f"{pick(labels.INDUSTRIES, 'c_nationkey % 20')} AS industry",
         "region",
     )
 
 
-def marketing_events(read: Reader, columns: Iterable[str] | None = None) -> DataFrame:
-    key, user = F.col("event_id"), F.col("user_id")
-    return read("events").select(
-        key.alias("event_id"),
-        user.alias("contact_id"),
+def marketing_events(read: Reader, columns: Columns = None) -> DataFrame:
+    return read("events").selectExpr(
+        "event_id",
+        "user_id AS contact_id",
         "event_type",
-        pick(labels.CHANNELS, user % 6).alias("channel"),
-        (key % 5000 + 1).alias("campaign_id"),
-        pick(labels.UTM_SOURCES, key % 8).alias("utm_source"),
-        pick(labels.DEVICES, key % 3).alias("device_type"),
-        (F.floor(F.col("value") * 3) + 1).alias("session_duration_sec"),
-        (key % 19 + 1).alias("page_depth"),
-        (F.col("ts") + _months(user % 24)).alias("timestamp"),
+        f"{pick(labels.CHANNELS, 'user_id % 6')} AS channel",
+        "event_id % 5000 + 1 AS campaign_id",
+        f"{pick(labels.UTM_SOURCES, 'event_id % 8')} AS utm_source",
+        f"{pick(labels.DEVICES, 'event_id % 3')} AS device_type",
+        "1 + floor(value * 3) AS session_duration_sec",
+        "1 + event_id % 19 AS page_depth",
+        "ts + make_ym_interval(0, CAST(user_id % 24 AS INT)) AS `timestamp`",
     )
 
 
-def email_campaigns(read: Reader, columns: Iterable[str] | None = None) -> DataFrame:
-    order, line = F.col("l_orderkey"), F.col("l_linenumber").cast("long")
-    return read("lineitem").select(
-        (order * 10 + line).alias("email_event_id"),
-        (order % 1000).alias("contact_id"),
-        (F.col("l_partkey") % 5000 + 1).alias("campaign_id"),
-        pick(labels.CAMPAIGN_TYPES, F.col("l_partkey") % 10).alias("campaign_type"),
-        pick(labels.EMAIL_ACTIONS, (order + line * 3) % 7).alias("action"),
-        (F.col("l_suppkey") % 100 + 20).alias("subject_line_length"),
-        ((order * 5 + line) % 24).alias("send_hour"),
-        (order % 7).alias("send_day_of_week"),
-        F.col("l_shipdate").alias("timestamp"),
+def email_campaigns(read: Reader, columns: Columns = None) -> DataFrame:
+    return read("lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS email_event_id",
+        "l_orderkey % 1000 AS contact_id",
+        "l_partkey % 5000 + 1 AS campaign_id",
+        f"{pick(labels.CAMPAIGN_TYPES, 'l_partkey % 10')} AS campaign_type",
+        f"{pick(labels.EMAIL_ACTIONS, '(l_orderkey + l_linenumber * 3) % 7')} AS action",
+        "l_suppkey % 100 + 20 AS subject_line_length",
+        "(l_orderkey * 5 + l_linenumber) % 24 AS send_hour",
+        "l_orderkey % 7 AS send_day_of_week",
+        "l_shipdate AS `timestamp`",
     )
 
 
-def support_tickets(read: Reader, columns: Iterable[str] | None = None) -> DataFrame:
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    urgency = F.col("o_orderpriority")
-    priority = (
-        F.when(urgency == "1-URGENT", "Critical")
-        .when(urgency == "2-HIGH", "High")
-        .when(urgency == "3-MEDIUM", "Medium")
-        .when(urgency == "5-LOW", "Low")
-        .otherwise("Unspecified")
-    )
-    spread = F.when(urgency == "1-URGENT", F.lit(100)).otherwise(F.lit(4000))
-    return read("orders").select(
-        key.alias("ticket_id"),
-        customer.alias("contact_id"),
-        (customer % 100).alias("company_id"),
-        pick(labels.TICKET_CATEGORIES, key % 10).alias("category"),
-        priority.alias("priority"),
-        pick(labels.TICKET_STATUSES, key % 5).alias("status"),
-        ((key * 29 % spread).cast("double") / 10).alias("resolution_hours"),
-        ((key * 3 + customer) % 5 + 1).alias("satisfaction_score"),
-        (key % 29 + 1).alias("num_interactions"),
-        F.col("o_orderdate").alias("created_at"),
+def support_tickets(read: Reader, columns: Columns = None) -> DataFrame:
+    return read("orders").selectExpr(
+        "o_orderkey AS ticket_id",
+        "o_custkey AS contact_id",
+        "o_custkey % 100 AS company_id",
+        f"{pick(labels.TICKET_CATEGORIES, 'o_orderkey % 10')} AS category",
+        """CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High'
+            WHEN '3-MEDIUM' THEN 'Medium' WHEN '5-LOW' THEN 'Low'
+            ELSE 'Unspecified' END AS priority""",
+        f"{pick(labels.TICKET_STATUSES, 'o_orderkey % 5')} AS status",
+        """CAST(o_orderkey * 29 % CASE o_orderpriority WHEN '1-URGENT' THEN 100 ELSE 4000 END
+            AS DOUBLE) / 10 AS resolution_hours""",
+        "1 + (o_orderkey * 3 + o_custkey) % 5 AS satisfaction_score",
+        "o_orderkey % 29 + 1 AS num_interactions",
+        "o_orderdate AS created_at",
     )
 
 
-def web_analytics(read: Reader, columns: Iterable[str] | None = None) -> DataFrame:
-    order, line = F.col("l_orderkey"), F.col("l_linenumber").cast("long")
-    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+def web_analytics(read: Reader, columns: Columns = None) -> DataFrame:
     base = read("lineitem")
-    if _read_by(columns, "country"):
-        origin = read("supplier").select("s_suppkey", "s_nationkey")
-        nation = read("nation").select("n_nationkey", F.col("n_name").alias("country"))
-        base = base.join(origin, supplier == F.col("s_suppkey"), "left").join(
-            nation, F.col("s_nationkey") == F.col("n_nationkey"), "left"
-        )
+    if _reads(columns, "country"):
+        origin = read("supplier").selectExpr("s_suppkey AS l_suppkey", "s_nationkey")
+        nation = read("nation").selectExpr("n_nationkey AS s_nationkey", "n_name AS country")
+        base = base.join(origin, "l_suppkey", "left").join(nation, "s_nationkey", "left")
     else:
-        base = base.withColumn("country", F.lit(None).cast("string"))
-    return base.select(
-        (order * 10 + line).alias("session_id"),
-        pick(labels.PAGES, part % 20).alias("page_url"),
-        pick(labels.REFERRERS, order % 10).alias("referrer_domain"),
-        pick(labels.BROWSERS, part % 5).alias("browser"),
-        pick(labels.DEVICES, supplier % 3).alias("device_type"),
+        base = base.selectExpr("*", "CAST(NULL AS STRING) AS country")
+    return base.selectExpr(
+        "l_orderkey * 10 + l_linenumber AS session_id",
+        f"{pick(labels.PAGES, 'l_partkey % 20')} AS page_url",
+        f"{pick(labels.REFERRERS, 'l_orderkey % 10')} AS referrer_domain",
+        f"{pick(labels.BROWSERS, 'l_partkey % 5')} AS browser",
+        f"{pick(labels.DEVICES, 'l_suppkey % 3')} AS device_type",
         "country",
-        (part * line % 600 + 1).alias("session_duration_sec"),
-        (F.col("l_quantity").cast("long") % 24 + 1).alias("page_views"),
-        flag(F.col("l_returnflag") == "R").alias("bounce"),
-        flag(F.col("l_discount") >= 0.095).alias("conversion"),
-        (F.col("l_shipdate") + _hours(order % 24)).alias("timestamp"),
+        "1 + l_partkey * l_linenumber % 600 AS session_duration_sec",
+        "1 + CAST(l_quantity AS BIGINT) % 24 AS page_views",
+        f"{flag("l_returnflag = 'R'")} AS bounce",
+        f"{flag('l_discount >= 0.095D')} AS conversion",
+        "l_shipdate + make_dt_interval(0, CAST(l_orderkey % 24 AS INT)) AS `timestamp`",
     )
 
 
@@ -220,8 +201,6 @@ VIEWS = {
 }
 
 
-def entity(
-    spark: SparkSession, directory: str, name: str, columns: Iterable[str] | None = None
-) -> DataFrame:
+def entity(spark: SparkSession, directory: str, name: str, columns: Columns = None) -> DataFrame:
     """A raw entity over the tables in ``directory``; ``columns`` limits the lookups joined."""
     return VIEWS[name](reader(spark, directory), columns)
