@@ -9,6 +9,7 @@ written table, so a lost executor costs the tasks in flight and nothing upstream
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,24 +25,34 @@ from crmkiln.sources.tables import (
 )
 
 
+def _build_entity(
+    spark: SparkSession, root: str, source: Callable[[str], DataFrame | None], name: str
+) -> list[WriteReport]:
+    raw = source(name)
+    if raw is None:
+        return []
+    reports = [write_table(features.process(name, raw), root, PROCESSED, name)]
+    processed = spark.read.parquet(table_path(root, PROCESSED, name))
+    reports.append(write_table(aggregates.summarize(name, processed), root, SUMMARIES, name))
+    summary = spark.read.parquet(table_path(root, SUMMARIES, name))
+    for spec in aggregates.of_source(name):
+        table = aggregates.from_summary(spec, summary)
+        reports.append(write_table(table, root, AGGREGATED, spec.name))
+    return reports
+
+
 def build(
     spark: SparkSession, root: str, source: Callable[[str], DataFrame | None]
 ) -> list[WriteReport]:
     """Build all layers under ``root``; ``source`` gives a raw entity, or None where there is none.
-    Such entities are skipped, and so are their aggregates. A rerun gives the same tables."""
-    reports = []
-    for name in schemas.ENTITIES:
-        raw = source(name)
-        if raw is None:
-            continue
-        reports.append(write_table(features.process(name, raw), root, PROCESSED, name))
-        processed = spark.read.parquet(table_path(root, PROCESSED, name))
-        reports.append(write_table(aggregates.summarize(name, processed), root, SUMMARIES, name))
-        summary = spark.read.parquet(table_path(root, SUMMARIES, name))
-        for spec in aggregates.of_source(name):
-            table = aggregates.from_summary(spec, summary)
-            reports.append(write_table(table, root, AGGREGATED, spec.name))
-    return reports
+    Such entities are skipped, and so are their aggregates. A rerun gives the same tables.
+
+    Entities do not depend on each other, so their jobs are submitted side by side: the small jobs
+    and the stragglers of one entity run while another one scans.
+    """
+    with ThreadPoolExecutor(max_workers=len(schemas.ENTITIES)) as pool:
+        jobs = [pool.submit(_build_entity, spark, root, source, name) for name in schemas.ENTITIES]
+        return [report for job in jobs for report in job.result()]
 
 
 def run(spark: SparkSession, root: str, raw_root: str | None = None) -> list[WriteReport]:

@@ -69,7 +69,7 @@ def companies(read: Reader, columns: Columns = None) -> DataFrame:
         f"{round_scaled('s_acctbal * 1000', 2)} AS annual_revenue",
         "1950 + s_suppkey % 74 AS founded_year",
         "100 + s_suppkey * 104729 % 4999900 AS website_traffic_monthly",
-        f"{_START} + make_dt_interval(CAST(s_suppkey % 1095 AS INT)) AS created_at",
+        f"{_START} + s_suppkey % 1095 * INTERVAL '1' DAY AS created_at",
     )
 
 
@@ -85,7 +85,7 @@ def contacts(read: Reader, columns: Columns = None) -> DataFrame:
         "c_custkey * 37 % 101 AS lead_score",
         f"{pick(labels.LIFECYCLE_STAGES, 'c_custkey % 7')} AS lifecycle_stage",
         "region",
-        f"{_START} + make_dt_interval(CAST(c_custkey % 1095 AS INT)) AS first_touch_date",
+        f"{_START} + c_custkey % 1095 * INTERVAL '1' DAY AS first_touch_date",
         "c_custkey * 31 % 1500 AS num_page_views",
         "c_custkey * 17 % 20 AS num_form_submissions",
     )
@@ -186,7 +186,7 @@ def web_analytics(read: Reader, columns: Columns = None) -> DataFrame:
         "1 + CAST(l_quantity AS BIGINT) % 24 AS page_views",
         f"{flag("l_returnflag = 'R'")} AS bounce",
         f"{flag('l_discount >= 0.095D')} AS conversion",
-        "l_shipdate + make_dt_interval(0, CAST(l_orderkey % 24 AS INT)) AS `timestamp`",
+        "l_shipdate + l_orderkey % 24 * INTERVAL '1' HOUR AS `timestamp`",
     )
 
 
