@@ -18,8 +18,9 @@ def array(values: Sequence[str]) -> str:
 
 
 def pick(labels: Sequence[str], index: str) -> str:
-    """The label at a 0-based index."""
-    return f"element_at({array(labels)}, CAST(({index}) + 1 AS INT))"
+    """The label at a 0-based index; null for an unknown index (``element_at`` is planned as never
+    null under ANSI, and then gives some label)."""
+    return f"get({array(labels)}, CAST({index} AS INT))"
 
 
 def ordinal(label: str, order: Sequence[str]) -> str:

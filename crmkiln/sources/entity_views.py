@@ -59,13 +59,13 @@ def _with_region(base: DataFrame, read: Reader, nation_key: str, wanted: bool) -
 
 def companies(read: Reader, columns: Columns = None) -> DataFrame:
     base = _with_region(read("supplier"), read, "s_nationkey", _reads(columns, "region"))
-    sizes = "array(0, 7, 30, 120, 600, 3000, 20000)"
     return base.selectExpr(
         "s_suppkey AS company_id",
         "s_name AS company_name",
         f"{pick(labels.INDUSTRIES, 's_suppkey % 20')} AS industry",
         "region",
-        f"element_at({sizes}, CAST(s_suppkey % 7 + 1 AS INT)) + s_suppkey % 3 AS employee_count",
+        """get(array(0, 7, 30, 120, 600, 3000, 20000), CAST(s_suppkey % 7 AS INT)) + s_suppkey % 3
+            AS employee_count""",
         f"{round_scaled('s_acctbal * 1000', 2)} AS annual_revenue",
         "1950 + s_suppkey % 74 AS founded_year",
         "100 + s_suppkey * 104729 % 4999900 AS website_traffic_monthly",
