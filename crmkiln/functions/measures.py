@@ -37,6 +37,11 @@ class Measure:
     def source_columns(self) -> set[str]:
         return {name for name in (self.column, self.only) if name}
 
+    @property
+    def whole(self) -> bool:
+        """Whether the result is an integer."""
+        return self.how in ("rows", "count") or (self.how == "sum" and self.decimals is None)
+
     @property
     def _stem(self) -> str:
         return f"{self.only}__{self.column}" if self.only else self.column

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from crmkiln.functions.measures import Measure, all_inputs, count, mean, named, rows, total
 
@@ -31,6 +32,15 @@ class Aggregate:
         """Entity columns the aggregate reads."""
         return {self.key}.union(*[m.source_columns for m in self.measures.values()])
 
+    @property
+    def schema(self) -> StructType:
+        key_type = LongType() if self.key == "send_hour" else StringType()
+        return StructType([
+            StructField(self.key, key_type),
+            *[StructField(alias, LongType() if m.whole else DoubleType())
+              for alias, m in self.measures.items()],
+        ])
+
     @property
     def keyed(self) -> str:
         """Condition that a row has a key. A calendar label is missing exactly where its time is,

@@ -15,12 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crmkiln import schemas
 from crmkiln.operators import aggregates, features, kpis
-from crmkiln.operators.aggregates import AGGREGATES
-from crmkiln.operators.charts import CHARTS
+from crmkiln.operators.charts import CHARTS, chart_frame
 from crmkiln.plans import dashboard
 from crmkiln.session import configure
 from crmkiln.sources.tables import (
-    AGGREGATED, PROCESSED, SUMMARIES, WriteReport, read_entity, read_if_present, table_path,
+    AGGREGATED, PROCESSED, SUMMARIES, WriteReport, load, read_entity, read_if_present, table_path,
     write_table,
 )
 
@@ -83,8 +82,28 @@ def serve_kpis(spark: SparkSession, root: str) -> DataFrame:
     return kpis.kpi_row(spark, stored(spark, root, PROCESSED, kpis.SOURCES))
 
 
+def serve_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One chart as rows from its stored aggregate; no rows where the aggregate is absent."""
+    chart = CHARTS[name]
+    path = table_path(root, AGGREGATED, chart.aggregate)
+    return chart_frame(chart, load(spark, path, chart.spec.schema))
+
+
 def serve_chart(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One chart as JSON from its stored aggregate."""
     chart = CHARTS[name]
-    path = table_path(root, AGGREGATED, AGGREGATES[chart.aggregate].name)
+    path = table_path(root, AGGREGATED, chart.aggregate)
     return dashboard.chart_json(spark, chart, read_if_present(spark, path))
+
+
+def export_json(spark: SparkSession, root: str) -> list[str]:
+    """Write every served document as JSON text under ``<root>/json``: the dashboard, the KPIs and
+    each chart. Returns their names."""
+    documents = {
+        "dashboard": serve_payload(spark, root),
+        "kpis": dashboard.kpi_json(serve_kpis(spark, root)),
+        **{name: serve_chart(spark, root, name) for name in CHARTS},
+    }
+    for name, document in documents.items():
+        dashboard.write_json(document, f"{root.rstrip('/')}/json/{name}")
+    return list(documents)

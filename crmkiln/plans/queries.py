@@ -71,8 +71,7 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_directory(spark: SparkSession) -> str:
     """A fresh folder in the shared storage the cluster names; a local one only where none is named."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = shared or tempfile.mkdtemp(prefix="run-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
     return f"{root.rstrip('/')}/layers-{uuid.uuid4().hex}"
 
 

@@ -16,10 +16,21 @@ RUNTIME_SETTINGS = {
 }
 
 
+_INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that somebody else built."""
+    """Apply the runtime settings to a session that somebody else built.
+
+    Shuffles start with a few partitions per core, so that those of large joins fit in memory; AQE
+    merges the partitions of small ones. A number the cluster sets itself is left alone.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    if spark.conf.get(_INITIAL_PARTITIONS, None) is None:
+        few_per_core = 3 * spark.sparkContext.defaultParallelism
+        configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set(_INITIAL_PARTITIONS, str(max(few_per_core, configured)))
     return spark
 
 

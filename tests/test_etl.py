@@ -1,6 +1,7 @@
 """The layered batch run over raw files."""
 
 import datetime as dt
+import glob
 import json
 
 import numpy as np
@@ -13,6 +14,7 @@ from compare import spark_table
 from crmkiln import schemas
 from crmkiln.operators import aggregates
 from crmkiln.operators.aggregates import AGGREGATES
+from crmkiln.operators.charts import CHARTS
 from crmkiln.plans import dashboard, etl
 from crmkiln.plans.queries import aggregated, chart_rows, kpi_summary, processed, summaries
 from crmkiln.sources import tables
@@ -72,6 +74,29 @@ def test_serving_from_the_layers(spark, sf_dir, root, reports, tmp_path):
     assert json.loads(spark.read.text(path).first().value) == document["kpis"]
 
 
+def test_json_export(spark, root, reports):
+    names = etl.export_json(spark, root)
+    assert names == ["dashboard", "kpis", *CHARTS]
+    read_json = lambda name: json.loads(spark.read.text(f"{root}/json/{name}").first().value)
+    whole = read_json("dashboard")
+    assert {name: read_json(name) for name in ["kpis", *CHARTS]} == whole
+
+
+def test_rows_from_the_layers(spark, sf_dir, root, reports, tmp_path):
+    for name in ("email_by_hour", "revenue_trend"):
+        assert spark_table(etl.serve_rows(spark, root, name)) == spark_table(
+            chart_rows(spark, sf_dir, name))
+        absent = etl.serve_rows(spark, str(tmp_path), name)
+        assert absent.count() == 0
+        assert absent.dtypes == chart_rows(spark, sf_dir, name).dtypes
+
+
+def test_declared_schemas_are_those_written(spark, root, reports):
+    for name, spec in AGGREGATES.items():
+        written = read(spark, root, "aggregated", name)
+        assert written.dtypes == [(f.name, f.dataType.simpleString()) for f in spec.schema.fields]
+
+
 def test_a_rerun_gives_the_same_tables(spark, root, reports):
     before = {name: spark_table(read(spark, root, "aggregated", name)) for name in AGGREGATES}
     again = etl.run(spark, root)
@@ -84,7 +109,6 @@ def test_a_rerun_gives_the_same_tables(spark, root, reports):
 def test_aggregates_are_one_small_file(root, reports):
     for name in AGGREGATES:
         folder = tables.table_path(root, "aggregated", name)
-        import glob
         assert len(glob.glob(f"{folder}/*.snappy.parquet")) == 1
 
 
