@@ -82,14 +82,26 @@ def _folded(spark: SparkSession, summaries: dict[str, DataFrame]) -> DataFrame:
     return kpis.side_by_side(spark, parts)
 
 
+def _figures(summaries: dict[str, DataFrame]) -> dict[str, str]:
+    return {k.name: kpis.served(k, f"kpi_{k.name}", k.source in summaries) for k in kpis.KPIS}
+
+
+def kpi_row(spark: SparkSession, summaries: dict[str, DataFrame]) -> DataFrame:
+    """The KPI row from the summaries of the entities that exist."""
+    parts = [
+        summary.selectExpr(*named({f"kpi_{k.name}": kpis.from_summary(k) for k in found}))
+        for source, summary in summaries.items()
+        if (found := kpis.of_source(source))
+    ]
+    return kpis.side_by_side(spark, parts).selectExpr(*named(_figures(summaries)))
+
+
 def payload(spark: SparkSession, summaries: dict[str, DataFrame]) -> DataFrame:
     """One row, one column ``payload``: the KPIs and all charts as a JSON document.
 
     ``summaries`` maps each entity that exists to its summary.
     """
-    figures = {
-        k.name: kpis.served(k, f"kpi_{k.name}", k.source in summaries) for k in kpis.KPIS
-    }
+    figures = _figures(summaries)
     charts = {
         name: _document(chart, name) if chart.spec.source in summaries else _absent(chart)
         for name, chart in CHARTS.items()

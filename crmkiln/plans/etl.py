@@ -78,8 +78,8 @@ def serve_payload(spark: SparkSession, root: str) -> DataFrame:
 
 
 def serve_kpis(spark: SparkSession, root: str) -> DataFrame:
-    """The KPI row from the stored processed tables."""
-    return kpis.kpi_row(spark, stored(spark, root, PROCESSED, kpis.SOURCES))
+    """The KPI row from the stored summaries; no entity is scanned."""
+    return dashboard.kpi_row(spark, stored(spark, root, SUMMARIES, kpis.SOURCES))
 
 
 def serve_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
