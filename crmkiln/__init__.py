@@ -1,6 +1,6 @@
 """CRM analytics as plain Spark DataFrame jobs.
 
 Layers: raw entity tables -> processed tables (row-wise features) -> summaries
-(one grouping-sets pass per entity) -> aggregated tables -> chart datasets,
+(one pass per entity for all its aggregates) -> aggregated tables -> chart datasets,
 KPI row and dashboard document.
 """

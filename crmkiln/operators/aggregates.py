@@ -2,8 +2,8 @@
 
 ``aggregate`` groups one entity by one key: scan -> partial aggregate -> exchange of one row per
 key and task -> final aggregate. ``summarize`` computes every aggregate of an entity plus its
-totals in a single pass with GROUPING SETS, so a full run scans each entity once instead of once
-per aggregate. Its exchange carries the sum of the key cardinalities per task, not their product.
+totals in a single pass over its unpivoted keys, so a full run scans each entity once instead of
+once per aggregate. Its exchange carries the sum of the key cardinalities per task, not their product.
 Hot keys are harmless in both: every measure combines before the exchange.
 """
 
@@ -181,38 +181,34 @@ def summary_columns(source: str) -> set[str]:
 
 
 def summarize(source: str, processed: DataFrame) -> DataFrame:
-    """Every aggregate of an entity in one pass: one row per key value of each grouping (keys in
-    columns ``by_<key>``), and one row (grouping ``all``) for the whole table."""
-    keys = [spec.key for spec in of_source(source)]
+    """Every aggregate of an entity in one pass: one row per ``grouping`` (the name of a key column)
+    and ``key`` (its value as text), and one row of grouping ``all`` for the whole table."""
+    keys = {spec.key: f"CAST({spec.key} AS STRING)" for spec in of_source(source)}
+    keys[ALL_ROWS] = "''"
     measures = _summary_measures(source)
-    grouped = [f"by_{key}" for key in keys]
-    # grouping_id has a 0 bit for the column that is grouped by; the first column is the highest bit.
-    everything = (1 << len(keys)) - 1
-    which = {everything - (1 << place): key for place, key in enumerate(reversed(keys))}
-    cases = " ".join(f"WHEN {number} THEN '{key}'" for number, key in which.items())
-    items = {
-        "grouping": f"CASE grouping_id() {cases} ELSE '{ALL_ROWS}' END",
-        **{name: m.combine() for name, m in measures.items()},
-    }
-    inputs = processed.selectExpr(
-        *[f"{key} AS by_{key}" for key in keys], *all_inputs(measures.values())
-    )
-    sets = ", ".join(f"({column})" for column in grouped)
-    return processed.sparkSession.sql(
-        f"""SELECT {', '.join([*grouped, *named(items)])} FROM {{inputs}}
-            GROUP BY GROUPING SETS ({sets}, ())""",
-        inputs=inputs,
+    inputs = processed.selectExpr(*named(keys), *all_inputs(measures.values()))
+    values = [name for name in inputs.columns if name not in keys]
+    return (
+        inputs.unpivot(values, list(keys), "grouping", "key")
+        .where("key IS NOT NULL")
+        .groupBy("grouping", "key")
+        .agg(*[F.expr(item) for item in named({n: m.combine() for n, m in measures.items()})])
     )
 
 
 def belongs(spec: Aggregate) -> str:
     """Condition on summary rows: the row is one group of this aggregate."""
-    return f"`grouping` = '{spec.key}' AND by_{spec.key} IS NOT NULL"
+    return f"`grouping` = '{spec.key}'"
+
+
+def key_of(spec: Aggregate) -> str:
+    """The key of a summary row in its own type."""
+    return f"try_cast(key AS {spec.schema[spec.key].dataType.simpleString()})"
 
 
 def from_summary(spec: Aggregate, summary: DataFrame) -> DataFrame:
     """One aggregate out of the summary of its entity."""
     return summary.where(belongs(spec)).selectExpr(
-        f"by_{spec.key} AS {spec.key}",
+        f"{key_of(spec)} AS {spec.key}",
         *[f"{m.name} AS `{alias}`" for alias, m in spec.measures.items()],
     )

@@ -53,4 +53,5 @@ def _check_entity(source: str, processed: DataFrame) -> DataFrame:
 
 def check(processed: dict[str, DataFrame]) -> DataFrame:
     """All checks over the processed entities that exist: (check, violations)."""
-    return reduce(DataFrame.unionByName, [_check_entity(*item) for item in processed.items()])
+    parts = [_check_entity(source, df) for source, df in processed.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from crmkiln.functions.columns import text
 from crmkiln.functions.measures import named
 from crmkiln.operators import kpis
-from crmkiln.operators.aggregates import belongs
+from crmkiln.operators.aggregates import belongs, key_of
 from crmkiln.operators.charts import CHARTS, Chart, Series
 
 
@@ -43,7 +43,7 @@ def _from_summary(chart: Chart) -> str:
     """The ordered rows of a chart as an aggregate over the summary of its entity."""
     spec = chart.spec
     return _ordered_rows(
-        chart, belongs(spec), f"by_{spec.key}", lambda alias: spec.measures[alias].name
+        chart, belongs(spec), key_of(spec), lambda alias: spec.measures[alias].name
     )
 
 

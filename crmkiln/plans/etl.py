@@ -1,7 +1,7 @@
 """The batch run: raw -> processed -> summaries -> aggregated.
 
 Per entity the run makes three kinds of passes: one over the raw table (features, written once),
-one pruned pass over the processed table (all of its aggregates by grouping sets, written as the
+one pruned pass over the processed table (all of its aggregates at once, written as the
 summary), and then only reads of that summary, which has one row per group. Every layer is a
 written table, so a lost executor costs the tasks in flight and nothing upstream.
 """
@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from crmkiln import schemas
-from crmkiln.operators import aggregates, features, kpis
+from crmkiln.operators import aggregates, features, kpis, quality
 from crmkiln.operators.charts import CHARTS, chart_frame
 from crmkiln.plans import dashboard
 from crmkiln.session import configure
@@ -96,6 +96,11 @@ def serve_chart(spark: SparkSession, root: str, name: str) -> DataFrame:
     return dashboard.chart_json(spark, chart, read_if_present(spark, path))
 
 
+def check_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Quality checks over the stored processed tables, which hold the joined attributes already."""
+    return quality.check(stored(spark, root, PROCESSED, schemas.ENTITIES))
+
+
 def export_json(spark: SparkSession, root: str) -> list[str]:
     """Write every served document as JSON text under ``<root>/json``: the dashboard, the KPIs and
     each chart. Returns their names."""

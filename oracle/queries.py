@@ -271,14 +271,13 @@ def _quality() -> str:
 
 
 def _written() -> str:
-    """Row counts of the written layers; a summary has the rows of all its groupings and one more."""
+    """Row counts of the written layers; a summary has the rows of all its aggregates and one more."""
     parts = []
     for entity in FEATURES:
         parts.append(f"SELECT 'processed' AS layer, '{entity}' AS name, COUNT(*) AS \"rows\" FROM {entity}")
         keys = [key for source, key, _ in _GROUPED.values() if source == entity]
         groups = " + ".join(
-            f"(SELECT COUNT(DISTINCT {key}) + MAX(CASE WHEN {key} IS NULL THEN 1 ELSE 0 END) FROM {entity})"
-            for key in keys
+            f"(SELECT COUNT(DISTINCT {key}) FROM {entity})" for key in keys
         )
         parts.append(f"SELECT 'summaries', '{entity}', CAST({groups} + 1 AS BIGINT)")
     for table in _GROUPED:

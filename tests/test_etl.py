@@ -16,7 +16,9 @@ from crmkiln.operators import aggregates
 from crmkiln.operators.aggregates import AGGREGATES
 from crmkiln.operators.charts import CHARTS
 from crmkiln.plans import dashboard, etl
-from crmkiln.plans.queries import aggregated, chart_rows, kpi_summary, processed, summaries
+from crmkiln.plans.queries import (
+    aggregated, chart_rows, kpi_summary, processed, quality_checks, summaries,
+)
 from crmkiln.sources import tables
 from crmkiln.sources.entity_views import entity
 
@@ -91,6 +93,10 @@ def test_rows_from_the_layers(spark, sf_dir, root, reports, tmp_path):
         assert absent.dtypes == chart_rows(spark, sf_dir, name).dtypes
 
 
+def test_quality_of_the_layers(spark, sf_dir, root, reports):
+    assert spark_table(etl.check_quality(spark, root)) == spark_table(quality_checks(spark, sf_dir))
+
+
 def test_declared_schemas_are_those_written(spark, root, reports):
     for name, spec in AGGREGATES.items():
         written = read(spark, root, "aggregated", name)
