@@ -70,8 +70,13 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_directory(spark: SparkSession) -> str:
-    """A fresh folder in the shared storage the cluster names; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    """A fresh folder in the shared storage the session names in ``spark.checkpoint.dir``. Without
+    that setting, local mode takes a temporary folder; on a cluster it would not be shared."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = tempfile.mkdtemp(prefix="run-")
     return f"{root.rstrip('/')}/layers-{uuid.uuid4().hex}"
 
 
