@@ -43,7 +43,7 @@ def _check_entity(source: str, processed: DataFrame) -> DataFrame:
     }
     for spec in aggregates.of_source(source):
         # An aggregate has rows exactly when some row has its key.
-        checks[f"{spec.name} is not empty"] = f"if(count({spec.key}) > 0, 0L, 1L)"
+        checks[f"{spec.name} is not empty"] = f"if(count_if({spec.keyed}) > 0, 0L, 1L)"
     rows = ", ".join(
         f"named_struct('check', {text(name)}, 'violations', {violations})"
         for name, violations in checks.items()
