@@ -2,8 +2,8 @@
 
 from pyspark import cloudpickle
 
-from crmkiln.llm import arrays, token_files
+from crmkiln.llm import arrays, decontaminate, quality_rules, token_files
 
-# Executors need not have the package on their path: its array helpers travel with the tasks.
-for module in (arrays, token_files):
+# Executors need not have the package on their path: what tasks call travels with them.
+for module in (arrays, decontaminate, quality_rules, token_files):
     cloudpickle.register_pickle_by_value(module)
