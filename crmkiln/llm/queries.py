@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crmkiln.llm import decontaminate, mixing, quality_rules, token_files
+from crmkiln.llm import decontaminate, language_id, mixing, quality_rules, token_files
 from crmkiln.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_language_id": op3_language_id,
     "op6_source_mix": op6_source_mix,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
