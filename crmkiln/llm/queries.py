@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crmkiln.llm import decontaminate, language_id, mixing, quality_rules, token_files
+from crmkiln.llm import decontaminate, language_id, license_scan, mixing, pii, quality_rules, token_files
 from crmkiln.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
+    "op4_pii": op4_pii,
     "op6_source_mix": op6_source_mix,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
