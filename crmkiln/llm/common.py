@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,10 +34,18 @@ def shared_folder(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write the frame to the shared folder and read it back: lineage ends here, and an executor
     that is lost later costs none of this work."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished plans, so that Spark's cleaner removes their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -52,3 +61,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     ordered = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
     return saved(ordered.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component`` (its smallest node) for every end of the edges (``a``, ``b``).
+
+    Each turn takes the smallest label among neighbours, then the label's own label; labels are
+    written tables, and turns end when none changes.
+    """
+    both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(
+        F.least(F.col("node"), F.min("b")).alias("component")), "components")
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(
+            F.min("component").alias("near"))
+        lower = labels.join(near, labels["node"] == near["a"]).select(
+            "node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        heads = labels.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
+        moved = saved(lower.join(heads, lower["component"] == heads["head"]).select(
+            "node", "old", F.least("component", "head_component").alias("component")), "components")
+        labels = moved.drop("old")
+        if moved.where("old <> component").isEmpty():
+            return labels

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crmkiln.llm import decontaminate, language_id, license_scan, mixing, pii, quality_rules, token_files
+from crmkiln.llm import (
+    decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_rules, token_files,
+)
 from crmkiln.llm.common import table
 
 
@@ -34,6 +36,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.benchmark_hits(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -50,6 +56,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
     "op6_source_mix": op6_source_mix,
+    "op8_ngram_join": op8_ngram_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
