@@ -2,8 +2,12 @@
 
 from pyspark import cloudpickle
 
-from crmkiln.llm import arrays, decontaminate, language_id, ngram_join, quality_rules, token_files
+from crmkiln.llm import (
+    arrays, decontaminate, language_id, ngram_join, quality_rules, repeats, substring_dedup,
+    suffix_dedup, token_files,
+)
 
 # Executors need not have the package on their path: what tasks call travels with them.
-for module in (arrays, decontaminate, language_id, ngram_join, quality_rules, token_files):
+for module in (arrays, decontaminate, language_id, ngram_join, quality_rules, repeats, substring_dedup,
+               suffix_dedup, token_files):
     cloudpickle.register_pickle_by_value(module)

@@ -48,18 +48,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and a unique row key whose order is that of ``doc_id``.
+def keyed(docs: DataFrame, keep=()) -> DataFrame:
+    """``doc_id``, ``text``, the columns to keep, and a unique row key whose order is that of ``doc_id``.
 
     Where ``doc_id`` is unique and never null it is the key itself. Else rows are numbered by
     (doc_id, text), null ids last: repeated rows are documents of their own, one after the other.
     """
-    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    odd = pairs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                       *[name for name in keep if name not in ("doc_id", "text")])
+    odd = rows.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
     if odd.isEmpty():
-        return pairs.withColumn(ROW, F.col("doc_id"))
+        return rows.withColumn(ROW, F.col("doc_id"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    ordered = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return saved(ordered.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 

@@ -36,9 +36,10 @@ CHUNK = 1 << 16
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, keep=()) -> DataFrame:
     """``doc_id``, ``source`` and the number of words of each row."""
     return docs.select(
+        *keep,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"),
@@ -103,7 +104,7 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) ->
         "shard", "rank", F.expr(permuted("block", "blocks", "rank, round", seed)).alias("block"), "round")
 
 
-def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+def placed(sizes: DataFrame, sources: DataFrame, keep=()) -> DataFrame:
     """Rows with their source's figures and the place of their first word in the source's stream.
 
     Sums run within runs of ids; the sums of the runs, thousands of times fewer, give their starts.
@@ -115,7 +116,7 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     runs = runs.select(
         F.col("rank").alias("__rank"), F.col("run").alias("__run"),
         (F.sum("words").over(ahead) - F.col("words")).alias("run_start"))
-    inside = Window.partitionBy("rank", "run").orderBy("doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("rank", "run").orderBy("doc_id", "size", *keep).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return rows.join(
         runs, (rows["rank"] == runs["__rank"]) & rows["run"].eqNullSafe(runs["__run"])
@@ -123,14 +124,16 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
         "__rank", "__run", "run", "run_start")
 
 
-def taken(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0, **shares) -> DataFrame:
+def taken(
+    docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0, keep=(), **shares
+) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target``; ``taken``: words of the row in the
     mix; ``copies``: how often the mix takes the block in which the row begins."""
-    sizes = common.saved(sized(docs), "sizes")
+    sizes = common.saved(sized(docs, keep), "sizes")
     sources = common.saved(targets(sizes, **shares), "targets")
-    rows = placed(sizes, sources)
+    rows = placed(sizes, sources, keep)
     uses = slots(sources, block_words, seed).groupBy("rank", "block").agg(F.count("*").alias("uses"))
-    keys = ["rank", "start", "doc_id", "source", "size", "source_size", "target"]
+    keys = [*keep, "rank", "start", "doc_id", "source", "size", "source_size", "target"]
     pieces = rows.where("size > 0").withColumn("first", F.expr(f"start DIV {block_words}")).withColumn(
         "block", F.explode(F.expr(f"sequence(first, (start + size - 1) DIV {block_words})")))
     overlap = f"least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})"
@@ -141,3 +144,11 @@ def taken(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0, **shar
     empty = rows.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"),
                                           F.lit(0).cast("long").alias("copies"))
     return used.unionByName(empty).drop("rank", "start")
+
+
+def mixed_documents(docs: DataFrame, columns) -> DataFrame:
+    """Whole rows in the mix's proportions: each as often as the mix takes the block it begins in."""
+    rows = common.keyed(docs, columns)
+    copies = taken(rows, keep=(common.ROW,)).where("copies > 0").select(common.ROW, "copies")
+    return rows.join(copies, common.ROW).withColumn(
+        "__copy", F.explode(F.expr("sequence(1L, copies)"))).select(*columns)

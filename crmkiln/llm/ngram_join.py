@@ -322,10 +322,9 @@ def links(rows: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD) -> Data
     return components(edges.union(more))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Row key, ``doc_id``, ``n_shingles``, ``component_id`` and ``component_row`` (the component's
-    first row) of every document."""
-    rows = keyed(docs)
+    first row) of every row that has a key."""
     nodes = saved(nodes_of(rows), "nodes")
     linked = links(rows, nodes, threshold)
     labelled = nodes.where("n_shingles > 0").join(linked, "node", "left").withColumn(
@@ -339,4 +338,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(keyed(docs)).select("doc_id", "n_shingles", "component_id")
+
+
+def first_documents(docs: DataFrame, columns) -> DataFrame:
+    """The first row of each component, unchanged."""
+    rows = keyed(docs, columns)
+    firsts = near_duplicates(rows).where(f"{ROW} = component_row").select(ROW)
+    return rows.join(firsts, ROW, "left_semi").select(*columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from crmkiln.llm import (
-    decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_rules, token_files,
+    decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_rules,
+    substring_dedup, suffix_dedup, token_files,
 )
 from crmkiln.llm.common import table
 
@@ -32,10 +33,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digests(table(spark, sf_dir, "documents"))
 
@@ -55,7 +64,9 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_source_mix": op6_source_mix,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_ngram_join": op8_ngram_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
