@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from crmkiln.llm.arrays import expand, mix, sliding_minima
 from crmkiln.llm.common import ROW, saved
 
+#: Position of a whole document; ``lead`` of a row that is known to hold nothing but repeats.
 WHOLE = -1
+SETTLED = -1
 CONTEXTS = f"anchor long, context long, {ROW} long, pos long, lead int, n int"
 _COLUMNS = ["anchor", "context", ROW, "pos", "lead", "n"]
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -51,29 +53,54 @@ def contexts(grams: np.ndarray, gram: int, width: int, firsts: np.ndarray):
     return owner[runs], anchors[runs], starts[runs], np.diff(np.append(runs, len(starts)))
 
 
-def context_batch(rows, found, grams, context_hashes, firsts, digests, width, seen):
-    """Rows to send for a run of texts. ``seen``: smallest row so far of each document digest."""
+def context_batch(rows, found, grams, context_hashes, firsts, digests, width, seen, keep_first):
+    """Rows to send for a run of texts. ``seen``: smallest row so far of each document digest.
+
+    Equal contexts, and equal documents, are combined before they are sent: one goes to their anchor's
+    partition, the others are settled and go anywhere. So a passage that a third of all texts share
+    arrives once per run of texts.
+    """
     owner, anchors, starts, counts = found
-    copies = np.zeros(len(rows), bool)
+    n_texts = len(rows)
+    copies, repeated = np.zeros(n_texts, bool), []
+    long_rows = np.diff(firsts) >= width
     for k, (row, digest) in enumerate(zip(rows.tolist(), digests.tolist())):
         earlier = seen.get(digest)
-        if earlier is not None and earlier < row:
+        if earlier is not None and earlier[0] < row:
             copies[k] = True
+            if not keep_first and not earlier[1]:
+                repeated.append((earlier[0], long_rows[k]))
+            seen[digest] = earlier[0], True
         else:
-            seen[digest] = row
+            seen[digest] = row, False
     keep = ~copies[owner]
     owner, anchors, starts, counts = owner[keep], anchors[keep], starts[keep], counts[keep]
     lead = anchors - starts
     names = mix(context_hashes[keep] + lead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    long_rows = np.diff(firsts) >= width
-    whole = np.flatnonzero(long_rows)
+    keys, row, pos = grams[anchors], rows[owner], starts - firsts[owner]
+
+    order = np.lexsort((pos, row, names, keys))
+    keys, names, row, pos = keys[order], names[order], row[order], pos[order]
+    lead, counts = lead[order], counts[order]
+    same = (keys[1:] == keys[:-1]) & (names[1:] == names[:-1])
+    again = np.concatenate([[False], same])[:len(keys)]
+    settled = again.copy()
+    if not keep_first:
+        settled[:-1] |= same[:max(len(keys) - 1, 0)]
+    whole, copied = np.flatnonzero(long_rows & ~copies), np.flatnonzero(long_rows & copies)
+    done_rows = np.concatenate([
+        row[settled], rows[copied], np.array([r for r, fits in repeated if fits], np.int64)]).astype(np.int64)
+    n_whole = len(done_rows) - int(settled.sum())
+    done_pos = np.concatenate([pos[settled], np.full(n_whole, WHOLE)])
+    done_counts = np.concatenate([counts[settled], np.zeros(n_whole, np.int64)])
+    anywhere = mix(done_rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + done_pos.astype(np.uint64))
     columns = (
-        np.concatenate([grams[anchors], mix(digests[whole] + np.uint64(1))]).view(np.int64),
-        np.concatenate([names, mix(digests[whole] + np.uint64(2))]).view(np.int64),
-        np.concatenate([rows[owner], rows[whole]]),
-        np.concatenate([starts - firsts[owner], np.full(len(whole), WHOLE)]),
-        np.concatenate([lead, np.zeros(len(whole), np.int64)]),
-        np.concatenate([counts, np.zeros(len(whole), np.int64)]),
+        np.concatenate([keys[~again], mix(digests[whole] + np.uint64(1)), anywhere]).view(np.int64),
+        np.concatenate([names[~again], mix(digests[whole] + np.uint64(2)), anywhere]).view(np.int64),
+        np.concatenate([row[~again], rows[whole], done_rows]),
+        np.concatenate([pos[~again], np.full(len(whole), WHOLE), done_pos]),
+        np.concatenate([lead[~again], np.zeros(len(whole), np.int64), np.full(len(done_rows), SETTLED)]),
+        np.concatenate([counts[~again], np.zeros(len(whole), np.int64), done_counts]),
     )
     return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, _KINDS)], _COLUMNS)
 
@@ -98,7 +125,8 @@ def resolved(rows: DataFrame, keep_first: bool) -> DataFrame:
             same_anchor = anchor[1:] == anchor[:-1]
             new = np.concatenate([[True], ~same_anchor | (context[1:] != context[:-1])])
             firsts = np.flatnonzero(new)
-            repeat = ~new
+            settled = columns[4] == SETTLED
+            repeat = ~new | settled
             if not keep_first:
                 repeat[:-1] |= ~new[1:]
             meets = anchor[firsts[1:]] == anchor[firsts[:-1]]
@@ -114,7 +142,7 @@ def resolved(rows: DataFrame, keep_first: bool) -> DataFrame:
                 repeat[0] &= not repeat_sent
             held = [c[last:last + 1] for c in columns]
             open_sent, repeat_sent = last_open, last_repeat
-            is_open &= columns[3] != WHOLE
+            is_open &= (columns[3] != WHOLE) & ~settled
             for chosen, flag in ((repeat, False), (is_open, True)):
                 places = np.flatnonzero(chosen)
                 if len(places):

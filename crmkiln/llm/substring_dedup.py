@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crmkiln.llm import repeats
 from crmkiln.llm.arrays import (
     SPACED, all_windows, prefix_sums, range_hashes, slices, window_hashes, word_bounds, word_sums,
 )
 from crmkiln.llm.common import ROW, keyed, saved
+from crmkiln.llm.repeats import CONTEXTS, context_batch, contexts, covered, per_row, resolved
 
 WINDOW = 20
 GRAM = 8
@@ -49,13 +49,13 @@ def context_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
             for first, end, words, firsts in word_hashes(batch.column(1)):
                 sums = word_sums(words)
                 grams = all_windows(sums, gram)
-                found = repeats.contexts(grams, gram, window, firsts)
+                found = contexts(grams, gram, window, firsts)
                 starts, counts = found[2], found[3]
-                yield repeats.context_batch(
+                yield context_batch(
                     keys[first:end], found, grams, window_hashes(sums, starts, starts + counts + window - 1),
-                    firsts, window_hashes(sums, firsts[:-1], firsts[1:]), window, seen)
+                    firsts, window_hashes(sums, firsts[:-1], firsts[1:]), window, seen, True)
 
-    return rows.select(ROW, "text").mapInArrow(build, repeats.CONTEXTS)
+    return rows.select(ROW, "text").mapInArrow(build, CONTEXTS)
 
 
 _SUFFIXES = f"prefix long, whole boolean, {ROW} long, pos long, lead int, n int, words binary"
@@ -66,7 +66,7 @@ def suffix_rows(rows: DataFrame, open_rows: DataFrame, window: int, group: int)
     whole window."""
     large = open_rows.groupBy("anchor").count().where(f"count > {group}").select(
         "anchor", F.lit(True).alias("large"))
-    places = repeats.per_row(open_rows.join(large, "anchor", "left"), ["anchor", "pos", "lead", "n", "large"])
+    places = per_row(open_rows.join(large, "anchor", "left"), ["anchor", "pos", "lead", "n", "large"])
 
     def build(batches):
         for batch in batches:
@@ -165,7 +165,7 @@ def tree_repeats(suffixes: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``pos`` and ``n``: runs of windows of each row that repeat an earlier window; -1 for a whole text."""
-    found = repeats.resolved(context_rows(rows, window, gram), keep_first=True)
+    found = resolved(context_rows(rows, window, gram), keep_first=True)
     suffixes = saved(suffix_rows(rows, found.where("open"), window, group), "suffixes")
     settled = found.where("NOT open").select(ROW, "pos", "n")
     return saved(settled.unionByName(tree_repeats(suffixes, window)), "repeats")
@@ -182,7 +182,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _removal(docs: DataFrame, window: int, column: str, result) -> DataFrame:
     rows = keyed(docs)
-    places = repeats.per_row(repeated_windows(rows, window), ["pos", "n"])
+    places = per_row(repeated_windows(rows, window), ["pos", "n"])
 
     def remove(batches):
         for batch in batches:
@@ -191,7 +191,7 @@ def _removal(docs: DataFrame, window: int, column: str, result) -> DataFrame:
                 words = (text.as_py() or "").encode().split()
                 gone = 0
                 if places.is_valid:
-                    cover = repeats.covered([(x["pos"], x["n"]) for x in places.as_py()], len(words), window)
+                    cover = covered([(x["pos"], x["n"]) for x in places.as_py()], len(words), window)
                     gone = int(cover.sum())
                     words = [w for w, out in zip(words, cover.tolist()) if not out]
                 sizes.append(len(words) + gone)

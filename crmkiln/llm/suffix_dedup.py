@@ -30,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crmkiln.llm import repeats
 from crmkiln.llm.arrays import mix, powers, prefix_sums, range_hashes, slices
 from crmkiln.llm.arrays import _BASE_INVERSE as INVERSE
 from crmkiln.llm.common import ROW, keyed, saved
+from crmkiln.llm.repeats import CONTEXTS, context_batch, contexts, covered, per_row, resolved
 
 WINDOW = 200
 GRAM = 64
@@ -54,13 +54,13 @@ def context_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
             for first, end, data, offsets in slices(batch.column(1)):
                 sums = prefix_sums(data)
                 grams = byte_grams(sums, gram)
-                found = repeats.contexts(grams, gram, window, offsets)
+                found = contexts(grams, gram, window, offsets)
                 starts, counts = found[2], found[3]
-                yield repeats.context_batch(
+                yield context_batch(
                     keys[first:end], found, grams, range_hashes(sums, starts, starts + counts + window - 1),
-                    offsets, range_hashes(sums, offsets[:-1], offsets[1:]), window, seen)
+                    offsets, range_hashes(sums, offsets[:-1], offsets[1:]), window, seen, False)
 
-    return rows.select(ROW, "text").mapInArrow(build, repeats.CONTEXTS)
+    return rows.select(ROW, "text").mapInArrow(build, CONTEXTS)
 
 
 _SAMPLE = f"anchor long, {ROW} long, pos long, lead int, n int, left binary, right binary"
@@ -68,7 +68,7 @@ _SAMPLE = f"anchor long, {ROW} long, pos long, lead int, n int, left binary, rig
 
 def sample_rows(rows: DataFrame, open_rows: DataFrame, window: int) -> DataFrame:
     """The open contexts: bytes before the anchor, last first, and bytes from the anchor on."""
-    places = repeats.per_row(open_rows, ["anchor", "pos", "lead", "n"])
+    places = per_row(open_rows, ["anchor", "pos", "lead", "n"])
 
     def build(batches):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
@@ -227,7 +227,7 @@ def induced_repeats(samples: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``pos`` and ``n``: runs of windows of each row that occur elsewhere too; -1 for a whole text."""
-    found = repeats.resolved(context_rows(rows, window, gram), keep_first=False)
+    found = resolved(context_rows(rows, window, gram), keep_first=False)
     samples = saved(sample_rows(rows, found.where("open"), window), "samples")
     settled = found.where("NOT open").select(ROW, "pos", "n")
     return saved(settled.unionByName(induced_repeats(samples, window)), "repeats")
@@ -235,7 +235,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 def _removal(docs: DataFrame, window: int, column: str, kind, result) -> DataFrame:
     rows = keyed(docs)
-    places = repeats.per_row(repeated_windows(rows, window), ["pos", "n"])
+    places = per_row(repeated_windows(rows, window), ["pos", "n"])
 
     def remove(batches):
         for batch in batches:
@@ -244,7 +244,7 @@ def _removal(docs: DataFrame, window: int, column: str, kind, result) -> DataFra
                 data = (text.as_py() or "").encode()
                 sizes.append(len(data))
                 if places.is_valid:
-                    cover = repeats.covered([(x["pos"], x["n"]) for x in places.as_py()], len(data), window)
+                    cover = covered([(x["pos"], x["n"]) for x in places.as_py()], len(data), window)
                     removed.append(int(cover.sum()))
                     spans.append(int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum()))
                     data = np.frombuffer(data, np.uint8)[~cover].tobytes()
