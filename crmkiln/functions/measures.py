@@ -1,11 +1,12 @@
 """Aggregate measures with results that do not depend on row order.
 
-Doubles with a known number of decimals are summed as whole units (longs) plus the remainder of
-each value, which is exactly zero for values that keep to those decimals. Unlike a sum of doubles
-the result is the same for every partitioning, retry and task order; unlike a decimal sum both
-buffers are primitives and stay in generated code. Values that need more decimals lose nothing,
-because the remainder is summed too. The unit sum holds totals up to 9e18 units (9e16 in money);
-beyond that ANSI arithmetic stops the job instead of giving a wrong number.
+Doubles with a known number of decimals are summed as two whole numbers per value, the multiple of
+1024 below it and the decimal units above that, plus the remainder of each value, which is exactly
+zero for values that keep to those decimals. Unlike a sum of doubles the result is the same for
+every partitioning, retry and task order; unlike a decimal sum the buffers are primitives and stay
+in generated code. The two sums are joined as decimals at the end. They hold totals up to 9e21
+and 9e11 rows; what does not fit raises an error, with ANSI arithmetic or without. Infinities and
+NaN go through the remainder.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-_UNIT_LIMIT = "1e13"  # larger values (and infinities) go through the remainder alone
+_LIMB = "1024D"
+_LIMIT = "9e21D"
+_TOO_LARGE = "raise_error('a sum of money or hours exceeds 9e21')"
 
 
 @dataclass(frozen=True)
@@ -54,11 +57,18 @@ class Measure:
         if self.how == "count" or self.decimals is None:
             return {self._stem: value}
         factor = f"{10**self.decimals}D"
-        units = f"CASE WHEN abs({value}) < {_UNIT_LIMIT} THEN rint(({value}) * {factor}) " \
-                f"WHEN {self.column} IS NOT NULL{self._kept} THEN 0D END"
+        fits = f"abs({value}) < {_LIMIT}"
+        present = f"{self.column} IS NOT NULL{self._kept}"
+        high = f"floor(({value}) / {_LIMB})"
+        low = f"rint((({value}) - {high} * {_LIMB}) * {factor})"
+        too_large = f"if(abs({value}) < double('inf'), CAST({_TOO_LARGE} AS BIGINT), 0L)"
         return {
-            f"{self._stem}__units": f"CAST({units} AS BIGINT)",
-            f"{self._stem}__rest": f"({value}) - ({units}) / {factor}",
+            f"{self._stem}__high": f"CASE WHEN {fits} THEN {high} WHEN {present} THEN {too_large} END",
+            f"{self._stem}__low": f"CASE WHEN {fits} THEN CAST({low} AS BIGINT) WHEN {present} THEN 0L END",
+            # Up to 2**53 units both parts join without rounding, so a value with the declared decimals leaves 0.
+            f"{self._stem}__rest": f"CASE WHEN abs({value}) < {2**52 // 10**self.decimals}D "
+            f"THEN ({value}) - ({high} * {_LIMB} * {factor} + {low}) / {factor} "
+            f"WHEN {fits} THEN (({value}) - {high} * {_LIMB}) - {low} / {factor} ELSE {value} END",
         }
 
     @property
@@ -74,9 +84,12 @@ class Measure:
         if self.decimals is None:
             total, present, nothing = f"sum({self._stem})", f"count({self._stem})", "0L"
         else:
-            units, rest = f"{self._stem}__units", f"{self._stem}__rest"
-            total = f"(CAST(sum({units}) AS DOUBLE) / {10**self.decimals}D + sum({rest}))"
-            present, nothing = f"count({units})", "0D"
+            high, low, rest = (f"{self._stem}__{part}" for part in ("high", "low", "rest"))
+            scale = 1024 * 10**self.decimals
+            units = f"CAST(try_sum({high}) AS DECIMAL(20, 0)) * CAST({scale} AS DECIMAL(10, 0)) + try_sum({low})"
+            whole = f"CASE WHEN count({low}) > 0 THEN coalesce(CAST({units} AS DOUBLE), CAST({_TOO_LARGE} AS DOUBLE)) END"
+            total = f"({whole} / {10**self.decimals}D + sum({rest}))"
+            present, nothing = f"count({low})", "0D"
         if self.how == "sum":
             return f"coalesce({total}, {nothing})"
         return f"try_divide({total}, {present})"

@@ -34,30 +34,12 @@ TICKET_CATEGORIES = [
     "Bug Report", "Feature Request", "Billing", "Integration", "Performance",
     "Security", "Onboarding", "Data Migration", "API Issue", "General Inquiry",
 ]
-TICKET_STATUSES = ["Open", "In Progress", "Waiting", "Resolved", "Closed"]
 DEVICES = ["Desktop", "Mobile", "Tablet"]
-BROWSERS = ["Chrome", "Safari", "Firefox", "Edge", "Opera"]
 PAGES = [
     "/", "/pricing", "/features", "/blog", "/contact", "/about", "/demo", "/docs", "/api",
     "/integrations", "/case-studies", "/careers", "/partners", "/resources", "/webinars",
     "/product/crm", "/product/marketing", "/product/sales", "/product/service", "/product/cms",
 ]
-REFERRERS = [
-    "google.com", "facebook.com", "linkedin.com", "twitter.com", "direct",
-    "bing.com", "reddit.com", "youtube.com", "github.com", "other",
-]
-UTM_SOURCES = [
-    "google", "facebook", "linkedin", "twitter", "bing", "newsletter", "partner", "direct",
-]
-JOB_TITLES = [
-    "CEO", "CTO", "VP Sales", "Marketing Manager", "Engineer", "Product Manager", "Designer",
-    "Data Analyst", "Account Executive", "Customer Success", "DevOps Engineer", "HR Manager",
-    "CFO", "Sales Rep", "Support Agent", "Consultant",
-]
-EMAIL_DOMAINS = [
-    "gmail.com", "yahoo.com", "outlook.com", "company.io", "business.com",
-    "tech.org", "work.net", "mail.com", "proton.me", "fastmail.com",
-]
 
 # --- bins: n+1 edges for n labels, each bin open below and closed above -------
 

@@ -1,10 +1,10 @@
-"""Data-quality checks: one aggregate per entity, one row per check with its violation count."""
+"""Data-quality checks: rules over the rows of an entity, and that every aggregate has rows."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from crmkiln import labels
 from crmkiln.functions.columns import text
@@ -31,27 +31,63 @@ RULES: dict[str, dict[str, str]] = {
 
 
 def columns_of(source: str) -> set[str]:
-    """Grouping columns of an entity that the checks read."""
-    return {spec.key for spec in aggregates.of_source(source)}
+    """Feature columns that an entity's rules read; no grouping column is among them."""
+    return {
+        column for column in ("company_id", "company_age", "contact_id", "engagement_index", "deal_id",
+                              "weighted_amount", "is_won", "sla_met")
+        if any(column in rule for rule in RULES.get(source, {}).values())
+    }
 
 
-def _check_entity(source: str, processed: DataFrame) -> DataFrame:
-    # A rule that is not known to hold is violated.
-    checks = {
-        name: f"count_if(NOT coalesce({rule}, false))"
-        for name, rule in RULES.get(source, {}).items()
-    }
-    for spec in aggregates.of_source(source):
-        # An aggregate has rows exactly when some row has its key.
-        checks[f"{spec.name} is not empty"] = f"if(count_if({spec.keyed}) > 0, 0L, 1L)"
+def _rows(checks: dict[str, str]) -> str:
     rows = ", ".join(
         f"named_struct('check', {text(name)}, 'violations', {violations})"
         for name, violations in checks.items()
     )
-    return processed.selectExpr(f"array({rows}) AS checks").selectExpr("inline(checks)")
+    return f"array({rows}) AS checks"
+
+
+def _check_rules(source: str, processed: DataFrame) -> DataFrame:
+    # A rule that is not known to hold is violated.
+    checks = {
+        name: f"count_if(NOT coalesce({rule}, false))" for name, rule in RULES[source].items()
+    }
+    return processed.selectExpr(_rows(checks)).selectExpr("inline(checks)")
+
+
+def _filled(name: str) -> str:
+    return f"{name} is not empty"
+
+
+def filled_tables(aggregated: dict[str, DataFrame]) -> list[DataFrame]:
+    """Checks of stored aggregate tables: one row of each is looked for, none is counted whole."""
+    return [
+        df.limit(1).selectExpr(_rows({_filled(name): "1 - count(1)"})).selectExpr("inline(checks)")
+        for name, df in aggregated.items()
+    ]
+
+
+def filled_summaries(summaries: dict[str, DataFrame]) -> list[DataFrame]:
+    """The same of the aggregates that summaries hold: one pass over each summary."""
+    return [
+        summary.selectExpr(_rows({
+            _filled(spec.name): f"if(count_if({aggregates.belongs(spec)}) > 0, 0L, 1L)"
+            for spec in aggregates.of_source(source)
+        })).selectExpr("inline(checks)")
+        for source, summary in summaries.items()
+    ]
+
 
+def check(spark: SparkSession, processed: dict[str, DataFrame], filled: list[DataFrame]) -> DataFrame:
+    """All checks: (check, violations). What is absent is one violation of each of its checks.
 
-def check(processed: dict[str, DataFrame]) -> DataFrame:
-    """All checks over the processed entities that exist: (check, violations)."""
-    parts = [_check_entity(source, df) for source, df in processed.items()]
-    return reduce(DataFrame.unionByName, parts)
+    ``processed``: the entities that exist; ``filled``: the checks of their aggregates.
+    """
+    names = [name for rules in RULES.values() for name in rules]
+    names += [_filled(name) for name in aggregates.AGGREGATES]
+    every = spark.createDataFrame([(name,) for name in names], "check string")
+    parts = [_check_rules(source, df) for source, df in processed.items() if source in RULES] + filled
+    if not parts:
+        return every.selectExpr("check", "1L AS violations")
+    found = reduce(DataFrame.unionByName, parts)
+    return every.join(found, "check", "left").selectExpr("check", "coalesce(violations, 1L) AS violations")

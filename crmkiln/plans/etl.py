@@ -97,8 +97,10 @@ def serve_chart(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def check_quality(spark: SparkSession, root: str) -> DataFrame:
-    """Quality checks over the stored processed tables, which hold the joined attributes already."""
-    return quality.check(stored(spark, root, PROCESSED, schemas.ENTITIES))
+    """Quality checks over the stored processed tables and the stored aggregates."""
+    return quality.check(
+        spark, stored(spark, root, PROCESSED, schemas.ENTITIES),
+        quality.filled_tables(stored(spark, root, AGGREGATED, aggregates.AGGREGATES)))
 
 
 def export_json(spark: SparkSession, root: str) -> list[str]:

@@ -18,16 +18,12 @@ from crmkiln.sources.entity_views import entity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Query names of aggregates and charts where they differ from the table names.
-_RENAMED = {"pipeline_stages": "deals_by_stage", "deals_by_pipeline": "deals_by_sales_line"}
-
-
 def aggregate_query_name(name: str) -> str:
-    return f"agg_{_RENAMED.get(name, name)}"
+    return f"agg_{name}"
 
 
 def chart_query_name(name: str) -> str:
-    return f"chart_{_RENAMED.get(name, name)}"
+    return f"chart_{name}"
 
 
 def processed(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
@@ -65,8 +61,9 @@ def records_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.check(
-        {n: processed(spark, sf_dir, n, quality.columns_of(n)) for n in schemas.ENTITIES}
-    )
+        spark,
+        {n: processed(spark, sf_dir, n, quality.columns_of(n)) for n in quality.RULES},
+        quality.filled_summaries(summaries(spark, sf_dir)))
 
 
 def work_directory(spark: SparkSession) -> str:
@@ -81,8 +78,12 @@ def work_directory(spark: SparkSession) -> str:
 
 
 def layer_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole batch run: builds all layers and reports the rows of every table written."""
-    reports = etl.build(spark, work_directory(spark), lambda name: entity(spark, sf_dir, name))
+    """The whole batch run: builds all layers and reports the rows of every table written. The layers
+    go when they are counted."""
+    root = work_directory(spark)
+    reports = etl.build(spark, root, lambda name: entity(spark, sf_dir, name))
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return etl.report_frame(spark, reports).drop("seconds")
 
 

@@ -28,12 +28,12 @@ _START = "TIMESTAMP_NTZ '2023-01-01 00:00:00'"
 _TABLES = {
     "region": "r_regionkey BIGINT, r_name STRING",
     "nation": "n_nationkey BIGINT, n_name STRING, n_regionkey BIGINT",
-    "customer": "c_custkey BIGINT, c_nationkey BIGINT",
+    "customer": "c_custkey BIGINT, c_nationkey BIGINT, c_mktsegment STRING",
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey BIGINT, s_acctbal DOUBLE",
-    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE,
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
         o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
     "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber BIGINT,
-        l_quantity DOUBLE, l_discount DOUBLE, l_returnflag STRING, l_shipdate TIMESTAMP_NTZ""",
+        l_quantity DOUBLE, l_discount DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ""",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
 }
 
@@ -75,12 +75,11 @@ def companies(read: Reader, columns: Columns = None) -> DataFrame:
 
 def contacts(read: Reader, columns: Columns = None) -> DataFrame:
     base = _with_region(read("customer"), read, "c_nationkey", _reads(columns, "region"))
-    domain = pick(labels.EMAIL_DOMAINS, "c_custkey % 10")
     return base.selectExpr(
         "c_custkey AS contact_id",
-        f"concat('user_', c_custkey, '@', {domain}) AS email",
+        "concat(c_custkey, '@example.com') AS email",
         "c_custkey % 100 AS company_id",
-        f"{pick(labels.JOB_TITLES, 'c_custkey % 16')} AS job_title",
+        "c_mktsegment AS job_title",
         f"{pick(labels.LEAD_SOURCES, 'c_custkey * 3 % 10')} AS lead_source",
         "c_custkey * 37 % 101 AS lead_score",
         f"{pick(labels.LIFECYCLE_STAGES, 'c_custkey % 7')} AS lifecycle_stage",
@@ -103,7 +102,7 @@ def deals(read: Reader, columns: Columns = None) -> DataFrame:
         "o_orderkey AS deal_id",
         "o_custkey AS contact_id",
         "o_custkey % 100 AS company_id",
-        "concat('Deal_', o_orderkey) AS deal_name",
+        "o_orderpriority AS deal_name",
         f"""CASE o_orderkey % 5
             WHEN 0 THEN CAST(floor(o_totalprice / 1000) AS DOUBLE)
             WHEN 1 THEN CAST(floor(o_totalprice / 100) AS DOUBLE)
@@ -127,7 +126,7 @@ def marketing_events(read: Reader, columns: Columns = None) -> DataFrame:
         "event_type",
         f"{pick(labels.CHANNELS, 'user_id % 6')} AS channel",
         "event_id % 5000 + 1 AS campaign_id",
-        f"{pick(labels.UTM_SOURCES, 'event_id % 8')} AS utm_source",
+        "event_type AS utm_source",
         f"{pick(labels.DEVICES, 'event_id % 3')} AS device_type",
         "1 + floor(value * 3) AS session_duration_sec",
         "1 + event_id % 19 AS page_depth",
@@ -158,7 +157,7 @@ def support_tickets(read: Reader, columns: Columns = None) -> DataFrame:
         """CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High'
             WHEN '3-MEDIUM' THEN 'Medium' WHEN '5-LOW' THEN 'Low'
             ELSE 'Unspecified' END AS priority""",
-        f"{pick(labels.TICKET_STATUSES, 'o_orderkey % 5')} AS status",
+        "o_orderstatus AS status",
         """CAST(o_orderkey * 29 % CASE o_orderpriority WHEN '1-URGENT' THEN 100 ELSE 4000 END
             AS DOUBLE) / 10 AS resolution_hours""",
         "1 + (o_orderkey * 3 + o_custkey) % 5 AS satisfaction_score",
@@ -178,8 +177,8 @@ def web_analytics(read: Reader, columns: Columns = None) -> DataFrame:
     return base.selectExpr(
         "l_orderkey * 10 + l_linenumber AS session_id",
         f"{pick(labels.PAGES, 'l_partkey % 20')} AS page_url",
-        f"{pick(labels.REFERRERS, 'l_orderkey % 10')} AS referrer_domain",
-        f"{pick(labels.BROWSERS, 'l_partkey % 5')} AS browser",
+        "l_linestatus AS referrer_domain",
+        "l_returnflag AS browser",
         f"{pick(labels.DEVICES, 'l_suppkey % 3')} AS device_type",
         "country",
         "1 + l_partkey * l_linenumber % 600 AS session_duration_sec",

@@ -96,12 +96,25 @@ def test_kpis_of_empty_and_absent_tables(spark):
     assert set(nothing) == {0} and len(nothing) == 16
 
 
+def _checked(spark, rows):
+    df = deals(spark, rows)
+    filled = quality.filled_summaries({"deals": aggregates.summarize("deals", df)})
+    return {row.check: row.violations for row in quality.check(spark, {"deals": df}, filled).collect()}
+
+
 def test_quality_finds_violations(spark):
-    df = deals(spark, [deal(None), deal(2, amount=-5.0), deal(3, amount=None)])
-    found = {row.check: row.violations for row in quality.check({"deals": df}).collect()}
+    found = _checked(spark, [deal(None), deal(2, amount=-5.0), deal(3, amount=None)])
     assert found["deals.deal_id is present"] == 1
     assert found["deals.weighted_amount is not negative"] == 2
     assert found["deals.is_won is 0 or 1"] == 0
     assert found["deals_by_region is not empty"] == 0
-    empty = quality.check({"deals": deals(spark, [])}).collect()
-    assert {row.violations for row in empty if "empty" in row.check} == {1}
+    # Entities that are absent violate all of their checks.
+    assert found["companies.company_id is present"] == 1
+    assert found["web_by_page is not empty"] == 1
+    empty = _checked(spark, [])
+    assert {number for check, number in empty.items() if "empty" in check} == {1}
+
+
+def test_quality_without_any_table(spark):
+    found = quality.check(spark, {}, []).collect()
+    assert len(found) > 22 and {row.violations for row in found} == {1}

@@ -12,7 +12,7 @@ import pytest
 
 from compare import spark_table
 from crmkiln import schemas
-from crmkiln.operators import aggregates
+from crmkiln.operators import aggregates, quality
 from crmkiln.operators.aggregates import AGGREGATES
 from crmkiln.operators.charts import CHARTS
 from crmkiln.plans import dashboard, etl
@@ -93,6 +93,17 @@ def test_rows_from_the_layers(spark, sf_dir, root, reports, tmp_path):
         assert absent.dtypes == chart_rows(spark, sf_dir, name).dtypes
 
 
+def test_quality_sees_stored_aggregates(spark, root, reports):
+    """An emptied and a removed aggregate are violations, though their entity is whole."""
+    found = etl.stored(spark, root, tables.AGGREGATED, ["deals_by_region", "deals_by_industry"])
+    found["deals_by_region"] = found["deals_by_region"].where("false")
+    checked = {row.check: row.violations for row in quality.check(
+        spark, {}, quality.filled_tables(found)).collect()}
+    assert checked["deals_by_region is not empty"] == 1
+    assert checked["deals_by_industry is not empty"] == 0
+    assert checked["web_by_page is not empty"] == 1
+
+
 def test_quality_of_the_layers(spark, sf_dir, root, reports):
     assert spark_table(etl.check_quality(spark, root)) == spark_table(quality_checks(spark, sf_dir))
 

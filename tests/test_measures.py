@@ -3,6 +3,8 @@
 import random
 from fractions import Fraction
 
+import pytest
+
 from crmkiln.functions.measures import all_inputs, count, mean, named, rows, total
 
 
@@ -55,3 +57,24 @@ def test_nothing_to_aggregate(spark):
 def test_restricted_sum(spark):
     df = spark.createDataFrame([(1, 2.5), (0, 4.0), (None, 8.0), (1, None)], "w long, x double")
     assert measure(df, s=total("x", 2, only="w")).s == 2.5
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_totals_beyond_any_long(spark, ansi):
+    """Units beyond 1e19 and 1e21, in any order, with the arithmetic mode on and off."""
+    rng = random.Random(2)
+    values = [9e12 + k / 4 for k in range(20_000)] + [float(rng.randrange(10**13, 10**16)) for _ in range(500)]
+    exact = float(sum(map(Fraction, values)))
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        for partitions in (1, 3, 8):
+            rng.shuffle(values)
+            got = measure(doubles(spark, values, partitions), s=total("x", 2), m=mean("x", 2))
+            assert (got.s, got.m) == (exact, exact / len(values))
+        assert measure(doubles(spark, [1e16, 1e13 + 0.5, -1e16]), s=total("x", 2)).s == 1e13 + 0.5
+        with pytest.raises(Exception, match="exceeds 9e21"):
+            measure(doubles(spark, [8e21] * 4), s=total("x", 2))
+        with pytest.raises(Exception, match="exceeds 9e21"):
+            measure(doubles(spark, [1e25]), s=total("x", 2))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")

@@ -3,13 +3,15 @@
 import pytest
 
 import __spark_entry__ as entry
+from crmkiln.plans import queries as plans
 from compare import connect, oracle_table, spark_table
 
 _TYPES = {
     "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER",
     "timestamp_ntz": "TIMESTAMP",
 }
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = plans.registry()
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +29,8 @@ def test_query_equals_sql(spark, sf_dir, connection, name):
 
 def test_names():
     assert set(QUERIES) - set(SQL) == {"dashboard_payload"}
-    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):

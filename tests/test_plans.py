@@ -46,7 +46,7 @@ def test_only_wanted_lookups_are_joined(spark, sf_dir, name, joins):
 
 
 def test_aggregates_combine_before_one_exchange(spark, sf_dir):
-    for name in ("agg_deals_by_stage", "agg_web_by_page", "agg_marketing_by_month"):
+    for name in ("agg_pipeline_stages", "agg_web_by_page", "agg_marketing_by_month"):
         text = plan(QUERIES[name](spark, sf_dir))
         assert text.count("Exchange") == 1
         assert text.index("Exchange hashpartitioning") < text.index("partial_")
@@ -108,7 +108,7 @@ def skewed_tables(spark, sf_dir, folder):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     lines.selectExpr(
         "l_orderkey", "l_partkey", "CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_suppkey END AS l_suppkey",
-        "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_shipdate",
+        "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate",
     ).repartition(8).write.parquet(f"{folder}/lineitem.parquet")
 
 
