@@ -31,7 +31,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 ROUNDS = 10
 RUN_OF_IDS = 4096
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -92,7 +92,8 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) ->
     ).withColumn("shards", F.expr(f"1 + sum(wanted) OVER () DIV {SHARD_SLOTS}"))
     chunks = counted.where("wanted > 0").withColumn(
         "chunk", F.explode(F.expr(f"sequence(0L, (wanted - 1) DIV {CHUNK})")))
-    places = chunks.repartition("rank", "chunk").withColumn(
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = chunks.repartition(tasks, "rank", "chunk").withColumn(
         "slot", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(wanted, (chunk + 1) * {CHUNK}) - 1)")))
     drawn = places.select(
         "rank", "blocks",
@@ -137,7 +138,8 @@ def taken(
     pieces = rows.where("size > 0").withColumn("first", F.expr(f"start DIV {block_words}")).withColumn(
         "block", F.explode(F.expr(f"sequence(first, (start + size - 1) DIV {block_words})")))
     overlap = f"least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})"
-    used = pieces.join(uses, ["rank", "block"], "left").withColumn(
+    # Spark's estimate does not see that slots multiply; a broadcast of them would have no bound.
+    used = pieces.join(uses.hint("merge"), ["rank", "block"], "left").withColumn(
         "uses", F.coalesce("uses", F.lit(0))).groupBy(*keys).agg(
         F.sum(F.expr(f"uses * ({overlap})")).alias("taken"),
         F.sum(F.expr("CASE WHEN block = first THEN uses ELSE 0 END")).alias("copies"))
