@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import uuid
 import zlib
 
@@ -32,7 +34,7 @@ from crmkiln.llm import common
 MAX_BITS = 16
 CHECKPOINT = 64
 BLOCK_IDS = 1 << 16
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 _UNSAFE_CUT = re.compile(r"\s | \s|\s\Z")
 _LETTERS = re.compile("(?: ?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,]?)")
@@ -114,13 +116,13 @@ class WordEncoder:
         return coded
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The process's encoder. It hangs on a module of its own, because the globals of functions that
+    are sent to tasks last no longer than a task, and travel with them."""
+    held = sys.modules.setdefault("crmkiln_encoders", types.ModuleType("crmkiln_encoders")).__dict__
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 # ---------------------------------------------------------------------------------------- codes
