@@ -36,16 +36,9 @@ CHECKPOINT = 64
 BLOCK_IDS = 1 << 16
 CACHED_WORDS = 300_000
 
-_UNSAFE_CUT = re.compile(r"\s | \s|\s\Z")
-_LETTERS = re.compile("(?: ?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,]?)")
-
-
-def _byte_alphabet() -> dict[int, str]:
-    """Byte-level vocabularies write each byte as a printable character: printable Latin-1 bytes as
-    themselves, the others in order from U+0100."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [byte for byte in range(256) if byte not in plain]
-    return {byte: chr(byte) for byte in plain} | {byte: chr(256 + k) for k, byte in enumerate(others)}
+# White space next to a space, or at the end.
+_UNSAFE_CUT = re.compile(r"\s(?:(?= |\Z)|(?<= \s))")
+WORDS_AT_ONCE = 1000
 
 
 def id_type(vocabulary: int) -> str:
@@ -57,9 +50,10 @@ class WordEncoder:
     """Token ids of texts by way of their words.
 
     The byte-level pattern begins a new piece at every single space between two other characters, so
-    a text may be cut there and each distinct word encoded once. Plain words go to the merges
-    directly; all else, and texts with other white space at a cut, takes the whole tokenizer. The
-    first ``CACHED_WORDS`` distinct words of a task's process are remembered.
+    a text may be cut there and each distinct word encoded once. A space then occurs at the start of
+    a word only, and so marks the first token of each word when many words are encoded as one text.
+    Texts with other white space at a cut take the tokenizer whole. The first ``CACHED_WORDS``
+    distinct words of a process are remembered.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -68,52 +62,51 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.merges = self.tokenizer.model
-        self.alphabet = _byte_alphabet()
         self.kind = id_type(self.tokenizer.get_vocab_size())
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
+        self.begins[[k for token, k in vocabulary.items() if token.startswith(space)]] = True
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, pieces: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in coded]
-
-    def _plain(self, word: str) -> bytes:
-        symbols = word.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([x.id for x in self.merges.tokenize(symbols)], self.kind).tobytes()
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        found, rest = {}, []
-        for piece in pieces:
-            if match := _LETTERS.fullmatch(piece):
-                mark = match[2]
-                word = piece[:-1] if mark else piece
-                coded = self.known.get(word) or found.get(word)
-                if coded is None:
-                    coded = found[word] = self._plain(word)
-                found[piece] = coded + self._plain(mark) if mark else coded
-            else:
-                rest.append(piece)
-        if rest:
-            found.update(zip(rest, self._whole(rest)))
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, self.kind) for x in coded]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        spaced = [word for word in words if word.startswith(" ")]
+        firsts = [word for word in words if not word.startswith(" ")]
+        found = {word: ids.tobytes() for word, ids in zip(firsts, self._whole(firsts))}
+        groups = [spaced[k:k + WORDS_AT_ONCE] for k in range(0, len(spaced), WORDS_AT_ONCE)]
+        for group, ids in zip(groups, self._whole(["".join(group) for group in groups])):
+            begins = np.flatnonzero(self.begins[ids])
+            if len(begins) != len(group):
+                raise ValueError("the tokenizer does not begin a piece at every space")
+            ends = [*(begins[1:] * ids.itemsize).tolist(), ids.nbytes]
+            joined, first = ids.tobytes(), 0
+            for word, end in zip(group, ends):
+                found[word] = joined[first:end]
+                first = end
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
-        known, coded = self.known, []
-        for text in texts:
-            if _UNSAFE_CUT.search(text) or "\0" in text:
-                coded += self._whole([text])
-                continue
-            pieces = text.replace(" ", "\0 ").split("\0")
-            try:
-                coded.append(b"".join([known[x] for x in pieces]))
-            except KeyError:
-                new = self._learn(list({x for x in pieces if x not in known}))
-                if len(known) < CACHED_WORDS:
-                    known.update(new)
-                    new = known
-                coded.append(b"".join([new[x] if x in new else known[x] for x in pieces]))
-        return coded
+        whole = [k for k, text in enumerate(texts) if _UNSAFE_CUT.search(text) or "\0" in text]
+        coded = dict(zip(whole, (ids.tobytes() for ids in self._whole([texts[k] for k in whole]))))
+        cut = {k: text.replace(" ", "\0 ").split("\0") for k, text in enumerate(texts) if k not in coded}
+        known, found = self.known, {}
+        parts = {k: list(map(known.get, words)) for k, words in cut.items()}
+        new = {word for k, words in cut.items() if None in parts[k]
+               for word, ids in zip(words, parts[k]) if ids is None}
+        if new:
+            found = self._learn(list(new))
+            if len(known) < CACHED_WORDS:
+                known.update(found)
+        for k, ids in parts.items():
+            if None in ids:
+                ids = [found[word] if x is None else x for word, x in zip(cut[k], ids)]
+            coded[k] = b"".join(ids)
+        return [coded[k] for k in range(len(texts))]
 
 
 def _encoder(path: str) -> WordEncoder:
