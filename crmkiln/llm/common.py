@@ -48,19 +48,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def in_ranges(rows: DataFrame, order: list, last: str) -> DataFrame:
+    """Rows in the order of some small keys, equal ones by the column ``last``. Spark samples the keys
+    of ranges to the driver, so texts are not among them."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col(last).asc_nulls_first())
+
+
 def keyed(docs: DataFrame, keep=()) -> DataFrame:
     """``doc_id``, ``text``, the columns to keep, and a unique row key whose order is that of ``doc_id``.
 
     Where ``doc_id`` is unique and never null it is the key itself. Else rows are numbered by
-    (doc_id, text), null ids last: repeated rows are documents of their own, one after the other.
+    (doc_id, a hash of the text, text), null ids last: repeated rows are documents of their own, one after the other.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        *[name for name in keep if name not in ("doc_id", "text")])
     odd = rows.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
     if odd.isEmpty():
         return rows.withColumn(ROW, F.col("doc_id"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("__hash")]
+    hashed = rows.withColumn("__hash", F.xxhash64("text"))
+    ordered = in_ranges(hashed, order, "text").drop("__hash")
     return saved(ordered.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 

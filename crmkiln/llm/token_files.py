@@ -11,7 +11,7 @@ The files are Parquet rows, one per block (and one table of code lengths), so Sp
 them and any executor can read any block. Nothing but the 50 thousand counts passes the driver.
 
 Defined cases: null text is empty, and has the end id alone; documents longer than a block go over
-several; rows that repeat a ``doc_id`` are coded one after the other, by text; null ``doc_id`` is last;
+several; rows that repeat a ``doc_id`` are coded one after the other, by a hash of their ids; null ``doc_id`` is last;
 an empty table gives files without blocks; other columns are ignored.
 """
 
@@ -300,8 +300,9 @@ def write_tokens(
         if held:
             yield flush()
 
-    order = [F.col("doc_id").asc_nulls_last(), F.col("ids")]
-    in_order = ids.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash")]
+    hashed = ids.select("doc_id", F.xxhash64("ids").alias("hash"), "ids")
+    in_order = common.in_ranges(hashed, order, "ids").drop("hash")
     in_order.mapInArrow(pack, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
