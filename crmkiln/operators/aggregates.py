@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from crmkiln import schemas
 from crmkiln.functions.measures import Measure, all_inputs, count, mean, named, rows, total
 
 ALL_ROWS = "all"
@@ -45,7 +46,7 @@ class Aggregate:
     def keyed(self) -> str:
         """Condition that a row has a key. A calendar label is missing exactly where its time is,
         and a condition on the time reaches the scan without computing the label."""
-        time = {"deals": "created_at"}.get(self.source, "`timestamp`")
+        time = f"`{schemas.TIME_COLUMN[self.source]}`"
         return f"{time if self.key in ('month', 'quarter') else self.key} IS NOT NULL"
 
 

@@ -3,24 +3,27 @@
 Per entity the run makes three kinds of passes: one over the raw table (features, written once),
 one pruned pass over the processed table (all of its aggregates at once, written as the
 summary), and then only reads of that summary, which has one row per group. Every layer is a
-written table, so a lost executor costs the tasks in flight and nothing upstream.
+written table, so a lost executor costs the tasks in flight and nothing upstream. A run publishes its
+layers when all of them are written; whoever serves meanwhile sees those of the run before.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from crmkiln import schemas
 from crmkiln.operators import aggregates, features, kpis, quality
 from crmkiln.operators.charts import CHARTS, chart_frame
 from crmkiln.plans import dashboard
-from crmkiln.session import configure
+from crmkiln.session import configured
 from crmkiln.sources.tables import (
-    AGGREGATED, PROCESSED, SUMMARIES, WriteReport, load, read_entity, read_if_present, table_path,
-    write_table,
+    AGGREGATED, PROCESSED, SUMMARIES, WriteReport, load, new_version, publish, published, read_entity,
+    read_if_present, remove, table_path, write_table,
 )
 
 
@@ -47,17 +50,39 @@ def build(
     Such entities are skipped, and so are their aggregates. A rerun gives the same tables.
 
     Entities do not depend on each other, so their jobs are submitted side by side: the small jobs
-    and the stragglers of one entity run while another one scans.
+    and the stragglers of one entity run while another one scans. The first failure ends them all.
     """
+    tag = f"layers-{uuid.uuid4().hex}"
+
+    def job(name: str):
+        @inheritable_thread_target(spark)
+        def tagged():
+            spark.addTag(tag)
+            return _build_entity(spark, root, source, name)
+
+        return tagged
+
     with ThreadPoolExecutor(max_workers=len(schemas.ENTITIES)) as pool:
-        jobs = [pool.submit(_build_entity, spark, root, source, name) for name in schemas.ENTITIES]
+        jobs = [pool.submit(job(name)) for name in schemas.ENTITIES]
+        ended, running = wait(jobs, return_when=FIRST_EXCEPTION)
+        if running:
+            spark.interruptTag(tag)
+            next(failed for failed in ended if failed.exception()).result()
         return [report for job in jobs for report in job.result()]
 
 
 def run(spark: SparkSession, root: str, raw_root: str | None = None) -> list[WriteReport]:
-    """The batch run over the raw tables in ``<raw_root>/raw`` (``root`` by default)."""
-    configure(spark)
-    return build(spark, root, lambda name: read_entity(spark, raw_root or root, name))
+    """The batch run over the raw tables in ``<raw_root>/raw`` (``root`` by default). Its layers are
+    published when all are written; a run that fails leaves what is served as it was."""
+    version = new_version(spark, root)
+    with configured(spark):
+        try:
+            reports = build(spark, version, lambda name: read_entity(spark, raw_root or root, name))
+        except BaseException:
+            remove(spark, version)
+            raise
+    publish(spark, root, version)
+    return reports
 
 
 def report_frame(spark: SparkSession, reports: list[WriteReport]) -> DataFrame:
@@ -67,8 +92,9 @@ def report_frame(spark: SparkSession, reports: list[WriteReport]) -> DataFrame:
 
 
 def stored(spark: SparkSession, root: str, layer: str, names) -> dict[str, DataFrame]:
-    """The tables of a layer that exist."""
-    found = {name: read_if_present(spark, table_path(root, layer, name)) for name in names}
+    """The published tables of a layer that exist."""
+    version = published(spark, root)
+    found = {name: read_if_present(spark, table_path(version, layer, name)) for name in names}
     return {name: df for name, df in found.items() if df is not None}
 
 
@@ -85,14 +111,14 @@ def serve_kpis(spark: SparkSession, root: str) -> DataFrame:
 def serve_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One chart as rows from its stored aggregate; no rows where the aggregate is absent."""
     chart = CHARTS[name]
-    path = table_path(root, AGGREGATED, chart.aggregate)
+    path = table_path(published(spark, root), AGGREGATED, chart.aggregate)
     return chart_frame(chart, load(spark, path, chart.spec.schema))
 
 
 def serve_chart(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One chart as JSON from its stored aggregate."""
     chart = CHARTS[name]
-    path = table_path(root, AGGREGATED, chart.aggregate)
+    path = table_path(published(spark, root), AGGREGATED, chart.aggregate)
     return dashboard.chart_json(spark, chart, read_if_present(spark, path))
 
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crmkiln import schemas
 from crmkiln.operators import aggregates, charts, features, kpis, quality
 from crmkiln.operators.aggregates import AGGREGATES
 from crmkiln.operators.charts import CHARTS
 from crmkiln.plans import dashboard, etl
+from crmkiln.session import configured
+from crmkiln.sources import tables
 from crmkiln.sources.entity_views import entity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,12 +71,13 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_directory(spark: SparkSession) -> str:
     """A fresh folder in the shared storage the session names in ``spark.checkpoint.dir``. Without
-    that setting, local mode takes a temporary folder; on a cluster it would not be shared."""
+    that setting, local mode names a temporary folder there; on a cluster it would not be shared."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/layers-{uuid.uuid4().hex}"
 
 
@@ -82,11 +86,51 @@ def layer_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     go when they are counted."""
     root = work_directory(spark)
     reports = etl.build(spark, root, lambda name: entity(spark, sf_dir, name))
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    tables.remove(spark, root)
     return etl.report_frame(spark, reports).drop("seconds")
 
 
+def raw_layers(spark: SparkSession, sf_dir: str, absent: tuple[str, ...] = ()) -> str:
+    """The batch run from raw files on, which are written first: all entities but the absent ones, the
+    times of deals as text and those of web sessions as nanoseconds. Gives the folder to serve from."""
+    root = work_directory(spark)
+    forms = {"deals": "CAST({0} AS STRING)", "web_analytics": "unix_micros(CAST({0} AS TIMESTAMP)) * 1000"}
+    with configured(spark):
+        entities = {name: entity(spark, sf_dir, name) for name in schemas.ENTITIES if name not in absent}
+        for name, form in forms.items():
+            if name in entities:
+                time = schemas.TIME_COLUMN[name]
+                entities[name] = entities[name].withColumn(time, F.expr(form.format(f"`{time}`")))
+        tables.write_raw(entities, root)
+    etl.run(spark, root)
+    return root
+
+
+def layer_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of every stored aggregate, built from raw files: (name, key, measure, value)."""
+    found = etl.stored(spark, raw_layers(spark, sf_dir), tables.AGGREGATED, AGGREGATES)
+    parts = []
+    for name, df in found.items():
+        measures = AGGREGATES[name].measures
+        values = ", ".join(f"'{alias}', CAST(`{alias}` AS DOUBLE)" for alias in measures)
+        parts.append(df.selectExpr(
+            f"'{name}' AS name", f"CAST({AGGREGATES[name].key} AS STRING) AS key",
+            f"stack({len(measures)}, {values}) AS (measure, value)"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def layer_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chart as JSON from the stored aggregates of a run without marketing events."""
+    root = raw_layers(spark, sf_dir, absent=("marketing_events",))
+    return reduce(DataFrame.unionByName, [
+        etl.serve_chart(spark, root, name).selectExpr(f"'{name}' AS chart", "payload") for name in CHARTS])
+
+
+def layer_payload(spark: SparkSession, sf_dir: str, absent: tuple[str, ...] = ()) -> DataFrame:
+    """The document from the stored summaries of a run over raw files."""
+    return etl.serve_payload(spark, raw_layers(spark, sf_dir, absent))
+
+
 def registry() -> dict[str, Query]:
     found: dict[str, Query] = {}
     for name in schemas.ENTITIES:
@@ -114,5 +158,9 @@ def registry() -> dict[str, Query]:
             chart_rows(spark, d, "marketing_channels")),
         "quality_checks": quality_checks,
         "layer_row_counts": layer_row_counts,
+        "layer_aggregates": layer_aggregates,
+        "layer_charts": layer_charts,
+        "layer_payload": layer_payload,
+        "layer_payload_without_deals": partial(layer_payload, absent=("deals",)),
     })
     return found

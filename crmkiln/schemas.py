@@ -46,3 +46,14 @@ RAW = {
     ),
 }
 ENTITIES = list(RAW)
+
+#: The column that says when a row of an entity came about.
+TIME_COLUMN = {
+    "companies": "created_at",
+    "contacts": "first_touch_date",
+    "deals": "created_at",
+    "marketing_events": "timestamp",
+    "email_campaigns": "timestamp",
+    "support_tickets": "created_at",
+    "web_analytics": "timestamp",
+}

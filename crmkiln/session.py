@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -34,6 +37,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def configured(spark: SparkSession) -> Iterator[None]:
+    """The runtime settings for the length of a block; afterwards the session is as it was found."""
+    names = [*RUNTIME_SETTINGS, _INITIAL_PARTITIONS]
+    before = {name: spark.conf.get(name, None) for name in names}
+    configure(spark)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def local_session(cores: int | str = 8, app: str = "crmkiln", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark; clusters bring their own."""
     builder = (

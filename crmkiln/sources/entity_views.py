@@ -2,7 +2,8 @@
 
 Each view is integer arithmetic over one large table. Attributes that live in another table
 (region, industry, country) come from left joins on the primary key of that table, so a fact row
-is never lost; ``columns`` names what the caller reads, and a lookup nobody reads is not joined.
+is never lost; ``columns`` names what the caller reads. A lookup nobody reads is not joined, and its
+attributes are then no columns of the view.
 The joins are chained on the fact side, so that each lookup side is a plain scan: Spark broadcasts
 it where its files are below the threshold, else shuffles both sides and splits hot keys (AQE skew
 join).
@@ -48,10 +49,19 @@ def _reads(columns: Columns, *supplied: str) -> bool:
     return columns is None or not set(supplied).isdisjoint(columns)
 
 
+def _view(
+    base: DataFrame, *expressions: str, joined: dict[str, tuple[str, str]]
+) -> DataFrame:
+    """The expressions, and the ``joined`` attributes (name -> expression, lookup column it needs)
+    whose lookup is there."""
+    found = {name: value for name, (value, column) in joined.items() if column in base.columns}
+    return base.selectExpr(*expressions, *[f"{value} AS {name}" for name, value in found.items()])
+
+
 def _with_region(base: DataFrame, read: Reader, nation_key: str, wanted: bool) -> DataFrame:
     """Add ``region`` by way of the nation."""
     if not wanted:
-        return base.selectExpr("*", "CAST(NULL AS STRING) AS region")
+        return base
     nation = read("nation").selectExpr(f"n_nationkey AS {nation_key}", "n_regionkey")
     region = read("region").selectExpr("r_regionkey AS n_regionkey", "r_name AS region")
     return base.join(nation, nation_key, "left").join(region, "n_regionkey", "left")
@@ -59,23 +69,25 @@ def _with_region(base: DataFrame, read: Reader, nation_key: str, wanted: bool) -
 
 def companies(read: Reader, columns: Columns = None) -> DataFrame:
     base = _with_region(read("supplier"), read, "s_nationkey", _reads(columns, "region"))
-    return base.selectExpr(
+    return _view(
+        base,
         "s_suppkey AS company_id",
         "s_name AS company_name",
         f"{pick(labels.INDUSTRIES, 's_suppkey % 20')} AS industry",
-        "region",
         """get(array(0, 7, 30, 120, 600, 3000, 20000), CAST(s_suppkey % 7 AS INT)) + s_suppkey % 3
             AS employee_count""",
         f"{round_scaled('s_acctbal * 1000', 2)} AS annual_revenue",
         "1950 + s_suppkey % 74 AS founded_year",
         "100 + s_suppkey * 104729 % 4999900 AS website_traffic_monthly",
         f"{_START} + s_suppkey % 1095 * INTERVAL '1' DAY AS created_at",
+        joined={"region": ("region", "region")},
     )
 
 
 def contacts(read: Reader, columns: Columns = None) -> DataFrame:
     base = _with_region(read("customer"), read, "c_nationkey", _reads(columns, "region"))
-    return base.selectExpr(
+    return _view(
+        base,
         "c_custkey AS contact_id",
         "concat(c_custkey, '@example.com') AS email",
         "c_custkey % 100 AS company_id",
@@ -83,10 +95,10 @@ def contacts(read: Reader, columns: Columns = None) -> DataFrame:
         f"{pick(labels.LEAD_SOURCES, 'c_custkey * 3 % 10')} AS lead_source",
         "c_custkey * 37 % 101 AS lead_score",
         f"{pick(labels.LIFECYCLE_STAGES, 'c_custkey % 7')} AS lifecycle_stage",
-        "region",
         f"{_START} + c_custkey % 1095 * INTERVAL '1' DAY AS first_touch_date",
         "c_custkey * 31 % 1500 AS num_page_views",
         "c_custkey * 17 % 20 AS num_form_submissions",
+        joined={"region": ("region", "region")},
     )
 
 
@@ -95,10 +107,9 @@ def deals(read: Reader, columns: Columns = None) -> DataFrame:
     if _reads(columns, "industry", "region"):
         home = read("customer").selectExpr("c_custkey AS o_custkey", "c_nationkey")
         base = base.join(home, "o_custkey", "left")
-    else:
-        base = base.selectExpr("*", "CAST(NULL AS BIGINT) AS c_nationkey")
     base = _with_region(base, read, "c_nationkey", _reads(columns, "region"))
-    return base.selectExpr(
+    return _view(
+        base,
         "o_orderkey AS deal_id",
         "o_custkey AS contact_id",
         "o_custkey % 100 AS company_id",
@@ -114,8 +125,10 @@ def deals(read: Reader, columns: Columns = None) -> DataFrame:
         "CAST(o_orderkey * 37 % 1001 AS DOUBLE) / 10 AS probability",
         "1 + o_orderkey * 13 % 364 AS days_in_pipeline",
         "o_orderdate AS created_at",
-        f"{pick(labels.INDUSTRIES, 'c_nationkey % 20')} AS industry",
-        "region",
+        joined={
+            "industry": (pick(labels.INDUSTRIES, "c_nationkey % 20"), "c_nationkey"),
+            "region": ("region", "region"),
+        },
     )
 
 
@@ -172,20 +185,19 @@ def web_analytics(read: Reader, columns: Columns = None) -> DataFrame:
         origin = read("supplier").selectExpr("s_suppkey AS l_suppkey", "s_nationkey")
         nation = read("nation").selectExpr("n_nationkey AS s_nationkey", "n_name AS country")
         base = base.join(origin, "l_suppkey", "left").join(nation, "s_nationkey", "left")
-    else:
-        base = base.selectExpr("*", "CAST(NULL AS STRING) AS country")
-    return base.selectExpr(
+    return _view(
+        base,
         "l_orderkey * 10 + l_linenumber AS session_id",
         f"{pick(labels.PAGES, 'l_partkey % 20')} AS page_url",
         "l_linestatus AS referrer_domain",
         "l_returnflag AS browser",
         f"{pick(labels.DEVICES, 'l_suppkey % 3')} AS device_type",
-        "country",
         "1 + l_partkey * l_linenumber % 600 AS session_duration_sec",
         "1 + CAST(l_quantity AS BIGINT) % 24 AS page_views",
         f"{flag("l_returnflag = 'R'")} AS bounce",
         f"{flag('l_discount >= 0.095D')} AS conversion",
         "l_shipdate + l_orderkey % 24 * INTERVAL '1' HOUR AS `timestamp`",
+        joined={"country": ("country", "country")},
     )
 
 

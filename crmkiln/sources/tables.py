@@ -1,8 +1,14 @@
-"""Parquet layers: one ``<name>.parquet`` per table under raw/, processed/, summaries/, aggregated/."""
+"""Parquet layers: one ``<name>.parquet`` per table under raw/, processed/, summaries/, aggregated/.
+
+What a run builds is a version of its own, ``<root>/versions/<number>``. It is served from the moment
+that an empty file ``<root>/published/<number>`` exists; until then, and where a run fails, the version
+before it is served whole.
+"""
 
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -29,6 +35,45 @@ def table_path(root: str, layer: str, name: str) -> str:
     return f"{root.rstrip('/')}/{layer}/{name}.parquet"
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _published(spark: SparkSession, root: str) -> list[str]:
+    files, place = _folder(spark, f"{root.rstrip('/')}/published")
+    if not files.exists(place):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(place))
+
+
+def new_version(spark: SparkSession, root: str) -> str:
+    """A folder for a run to build its layers in. Numbers rise with time."""
+    return f"{root.rstrip('/')}/versions/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def published(spark: SparkSession, root: str) -> str:
+    """Where the layers lie that are served now: the last published version, or the root itself."""
+    numbers = _published(spark, root)
+    return f"{root.rstrip('/')}/versions/{numbers[-1]}" if numbers else root
+
+
+def publish(spark: SparkSession, root: str, version: str) -> None:
+    """Serve a version from now on, and remove those before the last two: readers of the previous one
+    may still be at work."""
+    number = version.rsplit("/", 1)[-1]
+    files, place = _folder(spark, f"{root.rstrip('/')}/published/{number}")
+    files.create(place, False).close()
+    for old in _published(spark, root)[:-2]:
+        remove(spark, f"{root.rstrip('/')}/published/{old}")
+        remove(spark, f"{root.rstrip('/')}/versions/{old}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+
+
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at the path, or None where there is none."""
     try:

@@ -220,6 +220,84 @@ def _points() -> str:
     return f"WITH {ctes}, {charts} " + " UNION ALL ".join(parts)
 
 
+_TITLES = {
+    "revenue_trend": ["Closed Revenue", "Weighted Pipeline"],
+    "marketing_trend": ["Events", "Engagement %"],
+    "email_trend": ["Open Rate %", "Click Rate %"],
+    "web_trend": ["Sessions", "Conversion %"],
+}
+_FIGURES = [
+    "total_revenue", "won_revenue", "pipeline_value", "win_rate", "avg_deal_size", "total_contacts",
+    "total_companies", "total_deals", "conversion_rate", "bounce_rate", "total_sessions", "avg_csat",
+    "sla_compliance", "total_tickets", "email_open_rate", "email_click_rate",
+]
+
+
+def _json_number(column: str) -> str:
+    """A number as JSON text: doubles from 1e7 on in scientific notation, the shortest digits."""
+    text = f"CAST(abs({column}) AS VARCHAR)"
+    whole = f"split_part({text}, '.', 1)"
+    digits = f"rtrim(replace({text}, '.', ''), '0')"
+    scientific = f"""CASE WHEN {column} < 0 THEN '-' ELSE '' END || left({digits}, 1) || '.'
+        || coalesce(nullif(substr({digits}, 2), ''), '0') || 'E' || (length({whole}) - 1)"""
+    return f"""CASE WHEN {column} IS NULL THEN 'null'
+        WHEN typeof({column}) = 'BIGINT' OR abs({column}) < 1e7 THEN CAST({column} AS VARCHAR)
+        ELSE {scientific} END"""
+
+
+def _json_list(value: str) -> str:
+    return f"'[' || coalesce(string_agg({value}, ',' ORDER BY position), '') || ']'"
+
+
+def _chart_json(name: str, absent: tuple[str, ...] = ()) -> str:
+    """One row, one column: the chart as JSON text."""
+    titles = _TITLES.get(name)
+    if _chart_entity(name) in absent:
+        return f"""SELECT '{{"labels":[],"{'datasets' if titles else 'data'}":[]}}' AS payload"""
+    label = _ORDERED[name][2].split(" AS ")[-1]
+    labels = _json_list(f"""'"' || {label} || '"'""")
+    numbers = [_json_list(_json_number(f'"{column}"')) for column in _SERIES[name]]
+    if titles:
+        data = " || ',' || ".join(
+            f"""'{{"data":' || {values} || ',"label":"{title}"}}'"""
+            for title, values in zip(titles, numbers))
+        rest = f"""'"datasets":[' || {data} || ']'"""
+    else:
+        rest = " || ',' || ".join(
+            f"""'"{column}":' || {values}""" for column, values in zip(_SERIES[name], numbers))
+    return f"""SELECT '{{"labels":' || {labels} || ',' || {rest} || '}}' AS payload FROM ({chart(name)}) c"""
+
+
+def _payload(absent: tuple[str, ...] = ()) -> str:
+    whole = ("total_deals",)
+    of_deals = ("total_revenue", "won_revenue", "pipeline_value", "win_rate", "avg_deal_size", "total_deals")
+    figures = " || ',' || ".join(
+        f"""'"{name}":{'0' if name in whole else '0.0'}'"""
+        if "deals" in absent and name in of_deals else f"""'"{name}":' || {_json_number(name)}"""
+        for name in _FIGURES)
+    charts = " || ',' || ".join(
+        f"""'"{name}":' || (SELECT payload FROM ({_chart_json(name, absent)}) j)""" for name in _SERIES)
+    return with_entities(
+        f"""SELECT '{{"kpis":{{' || (SELECT {figures} FROM ({_KPIS}) k) || '}},' || {charts} || '}}'
+            AS payload""", *FEATURES)
+
+
+def _stored_numbers() -> str:
+    parts = [
+        f"""SELECT '{name}' AS name, key, measure, value FROM (
+                SELECT CAST({_GROUPED[name][1]} AS VARCHAR) AS key,
+                       CAST(COLUMNS(* EXCLUDE ({_GROUPED[name][1]})) AS DOUBLE) FROM ({grouped(name)}) g)
+            UNPIVOT INCLUDE NULLS (value FOR measure IN (COLUMNS(* EXCLUDE (key))))"""
+        for name in _GROUPED
+    ]
+    return with_entities(" UNION ALL ".join(parts), *FEATURES)
+
+
+def _stored_charts(absent: tuple[str, ...]) -> str:
+    parts = [f"SELECT '{name}' AS chart, payload FROM ({_chart_json(name, absent)}) j" for name in _SERIES]
+    return with_entities(" UNION ALL ".join(parts), *FEATURES)
+
+
 def _funnel(name: str, column: str) -> str:
     return f"""SELECT *, greatest("{column}" / MAX("{column}") OVER () * 100, 8.0::DOUBLE) AS width
                FROM ({chart(name)}) c"""
@@ -311,4 +389,9 @@ OTHER = {
     "channel_volume_k": with_entities(_volume(), "marketing_events"),
     "quality_checks": _quality(),
     "layer_row_counts": _written(),
+    "dashboard_payload": _payload(),
+    "layer_aggregates": _stored_numbers(),
+    "layer_charts": _stored_charts(absent=("marketing_events",)),
+    "layer_payload": _payload(),
+    "layer_payload_without_deals": _payload(absent=("deals",)),
 }

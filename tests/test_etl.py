@@ -39,7 +39,7 @@ def reports(spark, root):
 
 
 def read(spark, root, layer, name):
-    return spark.read.parquet(tables.table_path(root, layer, name))
+    return spark.read.parquet(tables.table_path(tables.published(spark, root), layer, name))
 
 
 def test_every_table_is_written_and_counted(spark, root, reports):
@@ -123,9 +123,9 @@ def test_a_rerun_gives_the_same_tables(spark, root, reports):
         assert spark_table(read(spark, root, "aggregated", name)) == table
 
 
-def test_aggregates_are_one_small_file(root, reports):
+def test_aggregates_are_one_small_file(spark, root, reports):
     for name in AGGREGATES:
-        folder = tables.table_path(root, "aggregated", name)
+        folder = tables.table_path(tables.published(spark, root), "aggregated", name)
         assert len(glob.glob(f"{folder}/*.snappy.parquet")) == 1
 
 
@@ -205,10 +205,46 @@ def test_extra_columns_pass_through(spark, tmp_path):
 def test_other_read_errors_are_not_taken_for_absence(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "deals.parquet").write_text("not a parquet file")
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="not a Parquet file|CANNOT_READ_FILE_FOOTER"):
         tables.read_entity(spark, str(tmp_path), "deals")
 
 
+def test_served_figures_outlive_a_failed_run(spark, sf_dir, tmp_path):
+    root = str(tmp_path)
+    tables.write_raw({name: entity(spark, sf_dir, name) for name in ("contacts", "companies")}, root)
+    etl.run(spark, root)
+    before = etl.serve_kpis(spark, root).first()
+    opened = etl.serve_rows(spark, root, "contacts_by_source")  # read before, collected after the reruns
+    held = spark_table(etl.serve_rows(spark, root, "contacts_by_source"))
+    write_pandas(tmp_path, "support_tickets", tickets().drop(columns=["priority"]))
+    with pytest.raises(ValueError, match="priority"):
+        etl.run(spark, root)
+    assert etl.serve_kpis(spark, root).first() == before and before.total_contacts > 0
+    write_pandas(tmp_path, "support_tickets", tickets())
+    etl.run(spark, root)
+    assert spark_table(opened) == held
+    assert etl.serve_kpis(spark, root).first().total_tickets == 4
+    assert len(list((tmp_path / "versions").iterdir())) == 2
+
+
+def test_a_run_leaves_the_session_as_found(spark, sf_dir, tmp_path):
+    tables.write_raw({"contacts": entity(spark, sf_dir, "contacts")}, str(tmp_path))
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        before = dict(spark.conf.getAll)
+        etl.run(spark, str(tmp_path))
+        assert dict(spark.conf.getAll) == before
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_lookup_that_is_not_joined_has_no_columns(spark, sf_dir):
+    assert "region" not in processed(spark, sf_dir, "deals", {"amount"}).columns
+    assert "country" not in processed(spark, sf_dir, "web_analytics", {"bounce"}).columns
+
+
 def test_totals_of_the_summary_match_the_aggregates(spark, root, reports):
     summary = read(spark, root, "summaries", "deals")
     whole = summary.where("`grouping` = 'all'").first()

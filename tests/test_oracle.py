@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, sf_dir, connection, name):
 
 
 def test_names():
-    assert set(QUERIES) - set(SQL) == {"dashboard_payload"}
+    assert set(QUERIES) == set(SQL)
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
