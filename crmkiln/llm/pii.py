@@ -33,15 +33,16 @@ PATTERNS = 500
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: (gate, expression, condition on the match ``y.m``) per kind. A local part and a run of digits match from
-#: their first character or not at all, so only the first, or the end of the last match, is tried.
+#: their first character or not at all, so only the first, or the end of the last match, is tried. Repeated
+#: groups are possessive: other ones of unfixed width recurse, and long runs would overflow the stack.
 _SEEDS = {
     "email": ("contains({t}, '@')",
-              rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+              rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", "true"),
     "ip": ("digits AND {t} RLIKE r'[0-9]\\.[0-9]+\\.[0-9]+\\.[0-9]'",
            r"(?:(?<![0-9])|\G)[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
            "forall(split(y.m, r'\\.'), part -> length(ltrim('0', part)) <= 3 AND "
            "(length(ltrim('0', part)) = 0 OR CAST(ltrim('0', part) AS int) <= 255))"),
-    "card": ("digits AND {t} RLIKE r'[0-9](?:[\\x20-]?[0-9]){{13}}'", r"[0-9]([\x20-]?[0-9])+", "{luhn}"),
+    "card": ("digits AND {t} RLIKE r'[0-9](?:[\\x20-]?[0-9]){{13}}'", r"[0-9](?:[\x20-]?[0-9])++", "{luhn}"),
     "phone": ("digits AND contains({t}, '+')", r"\+[0-9][\x20().0-9-]+[0-9]",
               "length(regexp_replace(y.m, '[^0-9]', '')) BETWEEN 10 AND 15"),
 }

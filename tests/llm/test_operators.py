@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -75,6 +76,12 @@ def test_personal_data(docs):
     assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and row.spans == want
 
 
+def test_personal_data_in_long_runs(docs):
+    rows = [(1, "7 " * 6000 + "x 4111 1111 1111 1111"), (2, "a@b" + ".c" * 6000 + " 1.2.3.4")]
+    got = {row.doc_id: row.spans for row in pii.digests(docs(rows)).collect()}
+    assert got == {1: "card:12002:12021", 2: "email:0:12003,ip:12004:12011"}
+
+
 def test_personal_data_discovered_by_context(docs):
     rows = [(k, f"phone: +1 234 567 {k:04d} ok") for k in range(60)] + [(100, "phone: 55-99-22 ok"), (101, "no 55")]
     got = {row.doc_id: row.spans for row in pii.digests(docs(rows)).collect()}
