@@ -4,17 +4,19 @@ Method. Fixed expressions find the seed entities of four kinds. Seeds, and all o
 or ``@`` (candidates), are instances; the one and the two words before them are lexical patterns. Spark counts the
 pattern-instance graph and scores it by turns: a pattern's confidence in a kind is the smoothed share of its
 occurrences whose instances are believed to be of the kind; a candidate's belief is the noisy-or of its
-patterns' confidences. Patterns with at least ``MIN_SEEDS`` different seeds and a confidence of ``CONFIDENT`` or more, the best
-``PATTERNS`` of them, are promoted, and their candidates become spans of the pattern's kind.
+patterns' confidences. Patterns with at least ``MIN_SEEDS`` different seeds and a confidence of ``CONFIDENT`` or more
+are promoted, and their candidates become spans of the pattern's kind.
 
 The text is read once: spans and contexts are saved per row, and all that follows works on them. Counts cover all
-rows and combine per task. The promoted patterns, ``PATTERNS`` at most, are all that passes the driver.
+rows and combine per task. The promoted patterns are a written table, as many as there are, which the candidates
+are joined with; nothing passes the driver.
 
 Start and end are code points. Expressions that scan long runs begin only where a run does, so that no
 text takes quadratic time.
 
 Defined cases: null text is empty; spans may touch but seeds of one kind never overlap; a candidate that overlaps a
-seed is no instance of its own; ties between patterns go to the first by text; repeated rows are judged each and count each;
+seed is no instance of its own; a pattern promoted for several kinds is of the one it has the most confidence in, then
+of the first; repeated rows are judged each and count each;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,13 +25,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crmkiln.llm.common import saved
+from crmkiln.llm.common import ROW, saved
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SEEDS = 5
 CONFIDENT = 0.6
-PATTERNS = 500
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: (gate, expression, condition on the match ``y.m``) per kind. A local part and a run of digits match from
@@ -124,8 +125,8 @@ def graph(rows: DataFrame) -> DataFrame:
     ).groupBy("pattern", "instance", "rank").agg(F.count("*").alias("n"))
 
 
-def promoted(edges: DataFrame) -> dict[str, int]:
-    """Rank of the kind of each promoted pattern."""
+def promoted(edges: DataFrame) -> DataFrame:
+    """``pattern`` and the rank of its kind, of each promoted pattern."""
     edges = saved(edges, "graph")
     sizes = saved(edges.groupBy("pattern").agg(
         F.sum("n").alias("total"), F.countDistinct(F.expr("CASE WHEN rank IS NOT NULL THEN instance END")).alias("seeds")
@@ -144,30 +145,30 @@ def promoted(edges: DataFrame) -> dict[str, int]:
                 (1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("belief"))
             believed = seeds.unionByName(others.join(beliefs, "instance").select(
                 "pattern", "instance", "rank", "n", "belief"))
-    best = scores.where(f"confidence >= {CONFIDENT}").orderBy(
-        F.desc(F.col("confidence") * F.log1p("seeds")), "pattern", "rank").limit(PATTERNS)
-    found: dict[str, int] = {}
-    for row in best.collect():
-        found.setdefault(row["pattern"], row["rank"])
-    return found
+    best = F.max(F.struct(F.col("confidence") * F.log1p("seeds"), -F.col("rank"))).alias("best")
+    return saved(scores.where(f"confidence >= {CONFIDENT}").groupBy("pattern").agg(best).select(
+        "pattern", (-F.col("best.col2")).alias("rank")), "promoted")
+
+
+def discovered(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Row key and ``new``: the candidates of promoted patterns as spans, of every row that has some."""
+    mentions = rows.select(ROW, F.explode("candidates").alias("c"))
+    named = mentions.select(ROW, "c.start", "c.stop", F.posexplode(F.expr(_patterns("c.before"))).alias("at", "pattern"))
+    # The longer pattern decides where both are promoted: it comes first of those with equal starts.
+    spans = F.array_sort(F.collect_list(F.struct("start", (-F.col("at")).alias("at"), "rank", "stop"))).alias("spans")
+    return named.join(patterns, "pattern").groupBy(ROW).agg(spans).select(ROW, F.expr(
+        """transform(array(spans), s -> transform(
+            filter(s, (x, k) -> k = 0 OR s[k - 1].start <> x.start),
+            x -> named_struct('start', x.start, 'rank', x.rank, 'stop', x.stop)))[0]""").alias("new"))
 
 
 def found_spans(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
     """The columns to keep, ``seeds``, and ``all_spans`` with what the promoted patterns discover."""
-    rows = saved(analysed(docs, keep), "analysed")
-    patterns = promoted(graph(rows))
-    if not patterns:
-        return rows.select(*keep, "seeds", F.col("seeds").alias("all_spans"))
-    names = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in patterns)
-    kinds = ", ".join(str(rank) for rank in patterns.values())
-    # The longer pattern decides where both are promoted.
-    rank = (f"element_at(array_compact(transform(reverse({_patterns('c.before')}), "
-            "x -> try_element_at(promoted, x))), 1)").replace("element_at(array_compact", "try_element_at(array_compact", 1)
-    new = f"""filter(transform(candidates, c -> named_struct('start', c.start, 'rank', {rank}, 'stop', c.stop)),
-        s -> s.rank IS NOT NULL)"""
-    return rows.withColumn("promoted", F.expr(f"map_from_arrays(array({names}), array({kinds}))")).select(
-        *keep, "seeds",
-        F.expr(f"CASE WHEN size(candidates) > 0 THEN array_sort(concat(seeds, {new})) ELSE seeds END").alias("all_spans"))
+    # Written, so that row numbers stay as they are.
+    rows = saved(analysed(docs, keep).withColumn(ROW, F.monotonically_increasing_id()), "analysed")
+    new = discovered(rows, promoted(graph(rows)))
+    return rows.select(*keep, "seeds", ROW).join(new, ROW, "left").select(
+        *keep, "seeds", F.expr("CASE WHEN new IS NULL THEN seeds ELSE array_sort(concat(seeds, new)) END").alias("all_spans"))
 
 
 def _text(spans: str) -> str:

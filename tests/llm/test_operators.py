@@ -88,6 +88,14 @@ def test_personal_data_discovered_by_context(docs):
     assert got[100] == "phone:7:15" and got[101] == ""
 
 
+def test_personal_data_of_many_patterns(docs):
+    names = ["".join(x) for x in itertools.product("abcdefgh", repeat=3)] + [f"z{x}" for x in "abcdefgh"]
+    rows = [(k * 10 + n, f"{name} +1 234 {k:03d} {n:04d} ok") for k, name in enumerate(names) for n in range(5)]
+    rows += [(k * 10 + 9, f"{name} 55-99-22 ok") for k, name in enumerate(names)]
+    got = {row.doc_id: row.spans for row in pii.digests(docs(rows)).where("doc_id % 10 = 9").collect()}
+    assert got == {k * 10 + 9: f"phone:{len(name) + 1}:{len(name) + 9}" for k, name in enumerate(names)}
+
+
 def test_byte_repeats(docs):
     rows = noisy_copies(1, (60, 90), 8) + [(1, "a" * 500), (2, None), (3, "q" * 199), (4, "é" * 120)]
     counts = collections.Counter()
