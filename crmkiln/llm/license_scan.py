@@ -16,6 +16,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-#: label: key words of which one must occur; identifier as words; names as an expression over words.
+#: label: key words, of which one must occur (``rules`` adds some for spellings without); identifier as words;
+#: names as an expression over words.
 LICENSES = {
     "mit": ("mit expat", "mit", "(?:mit|expat)"),
     "x11": ("x11", "x11", "x11"),
@@ -106,10 +109,8 @@ LICENSES = {
     "openrail": ("openrail rail", "openrail", "(?:open ?rail|responsible ai license)(?: m)?"),
 }
 
-_GRANT = (
-    "(?:licen[cs]ed|released|distributed|available|provided|published|shared|used)(?: to you)? under"
-    "(?: the)?(?: terms of)?(?: the)?"
-)
+_GRANTED = "(?:licen[cs]ed|released|distributed|available|provided|published|shared|used)(?: to you)? under"
+_GRANT = f"{_GRANTED}(?: the)?(?: terms of)?(?: the)?"
 #: (priority, expression) of each form; 0 is best.
 FORMS = (
     (0, " (?:spdx )?licen[cs]e identifier {identifier}(?= )"),
@@ -124,17 +125,59 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words before A-Z are lower-cased, which is cheaper to do in the few gated texts.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Every base phrase and every rule needs one of these.
-_GATE = rf"(?i)licen[cs]e|cc{_GAP}by{_GAP}nc|under{_GAP}(?:the|a|an|cc|creative)"
+#: Every base phrase and every form needs one of these.
+_GATE = "(?i)" + "|".join([
+    "licen[cs]e", *[x.replace(" ", _GAP) for x in BASE if "license" not in x], _GRANTED.replace(" ", _GAP)])
+#: Words that say little of a licence.
+_COMMON = {"license", "licence", "public", "software", "version", "general", "open", "the", "and"}
+
+
+def spellings(expression: str) -> set[str]:
+    """All texts of an expression of letters, ``[...]``, ``(?:...|...)``, ``?`` and ``+``. A range has
+    its first character and ``+`` is once."""
+
+    def branches(at):
+        found, texts = set(), {""}
+        while at < len(expression) and expression[at] != ")":
+            if expression[at] == "|":
+                found, texts, at = found | texts, {""}, at + 1
+                continue
+            if expression.startswith("(?:", at):
+                part, at = branches(at + 3)
+            elif expression[at] == "[":
+                end = expression.index("]", at)
+                part, at = set(re.sub("(.)-.", r"\1", expression[at + 1:end])), end
+            else:
+                part = {expression[at]}
+            at += 1
+            if expression[at:at + 1] == "?":
+                part, at = part | {""}, at + 1
+            elif expression[at:at + 1] == "+":
+                at += 1
+            texts = {x + y for x in texts for y in part}
+        return found | texts, at
+
+    return branches(0)[0]
+
+
+def keys(label: str) -> list[str]:
+    """The licence's key words, and of each spelling that has none of them its longest word."""
+    key_words, identifier, name = LICENSES[label]
+    found = key_words.split()
+    for text in sorted(spellings(identifier) | spellings(name)):
+        words = text.split()
+        if not set(words) & set(found):
+            found.append(max(words, key=lambda x: (x not in _COMMON and not x.isdigit(), len(x))))
+    return found
 
 
 def rules() -> list[tuple[str, str, int, str]]:
     """(key word, label, priority, expression) in the order that breaks ties."""
     return [
         (key, label, priority, form.format(identifier=identifier, name=name))
-        for label, (key_words, identifier, name) in LICENSES.items()
+        for label, (_, identifier, name) in LICENSES.items()
         for priority, form in FORMS
-        for key in key_words.split()
+        for key in keys(label)
     ]
 
 
@@ -165,8 +208,8 @@ def _detections() -> str:
                 'start', state.at + length(x.`0`), 'tail', -(state.at + length(x.`0`) + length(x.`1`)),
                 'priority', rule.priority, 'number', rule.number, 'label', rule.label))) END),
         state -> state.found)"""
-    keys = "|".join(sorted({key for key, *_ in rules()}))
-    picked = f"array_distinct(regexp_extract_all(norm, {_sql(f' ({keys})(?= )')}, 1))"
+    words = "|".join(sorted({key for key, *_ in rules()}))
+    picked = f"array_distinct(regexp_extract_all(norm, {_sql(f' ({words})(?= )')}, 1))"
     chosen = f"flatten(transform({picked}, key -> element_at(rule_map, key)))"
     return f"array_sort(flatten(transform({chosen}, rule -> {places})))"
 

@@ -68,6 +68,32 @@ def test_licences(docs):
     assert 200 <= len(license_scan.rules())
 
 
+def test_licences_pass_the_gate_and_have_a_key():
+    keys = {}
+    for key, label, *_ in license_scan.rules():
+        keys.setdefault(label, set()).add(key)
+    for label, (_, identifier, name) in license_scan.LICENSES.items():
+        for priority, form in license_scan.FORMS:
+            for text in license_scan.spellings(identifier if priority == 0 else name):
+                assert re.fullmatch(identifier if priority == 0 else name, text) and keys[label] & set(text.split()), text
+    for _, form in license_scan.FORMS:
+        for text in license_scan.spellings(form.format(identifier="mit", name="mit").replace("(?= )", "")):
+            assert re.search(license_scan._GATE, text), text
+
+
+def test_licences_in_all_spellings(docs):
+    texts = {
+        "released under MIT": "mit", "Distributed under GPL v3": "gpl-3", "available under BSD 3-Clause": "bsd-3",
+        "provided to you under MPL 2.0": "mpl-2", "AGPLv3 license": "agpl-3", "agpl3 license": "agpl-3",
+        "LGPLv2 license": "lgpl-2.1", "lgplv3 licence": "lgpl-3", "lgpl3 license": "lgpl-3", "gpl2 license": "gpl-2",
+        "GPL3 License": "gpl-3", "Q Public License licence": "qpl-1", "shared under Responsible AI License": "openrail",
+        "epl2 license": "epl-2", "license identifier IPL-1.0": "ipl-1",
+    }
+    rows = license_scan.scanned(docs(list(enumerate(texts)))).collect()
+    got = {row.doc_id: (row.labels, row.score > 0) for row in rows}
+    assert got == {k: (label, True) for k, label in enumerate(texts.values())}
+
+
 def test_personal_data(docs):
     text = "a@b.c-x@d.e 1.2.3.4.5 999.1.2.3 card 4111 1111 1111 1111 +1 (234) 567-8901 é😀 q@w.e"
     row = pii.digests(docs([(1, text)])).first()
