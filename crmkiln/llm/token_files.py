@@ -52,8 +52,8 @@ class WordEncoder:
     The byte-level pattern begins a new piece at every single space between two other characters, so
     a text may be cut there and each distinct word encoded once. A space then occurs at the start of
     a word only, and so marks the first token of each word when many words are encoded as one text.
-    Texts with other white space at a cut take the tokenizer whole. The first ``CACHED_WORDS``
-    distinct words of a process are remembered.
+    Texts with other white space at a cut, or with the content of an added token, take the tokenizer
+    whole. The first ``CACHED_WORDS`` distinct words of a process are remembered.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -61,7 +61,9 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        # Without added tokens, what never matches.
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.kind = id_type(self.tokenizer.get_vocab_size())
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -75,9 +77,12 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         spaced = [word for word in words if word.startswith(" ")]
-        firsts = [word for word in words if not word.startswith(" ")]
-        found = {word: ids.tobytes() for word, ids in zip(firsts, self._whole(firsts))}
+        alone = [word for word in words if not word.startswith(" ")]
         groups = [spaced[k:k + WORDS_AT_ONCE] for k in range(0, len(spaced), WORDS_AT_ONCE)]
+        # Words of different texts may make up an added token with a space in it.
+        alone += [word for group in groups if self.added.search("".join(group)) for word in group]
+        groups = [group for group in groups if not self.added.search("".join(group))]
+        found = {word: ids.tobytes() for word, ids in zip(alone, self._whole(alone))}
         for group, ids in zip(groups, self._whole(["".join(group) for group in groups])):
             begins = np.flatnonzero(self.begins[ids])
             if len(begins) != len(group):
@@ -91,7 +96,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
-        whole = [k for k, text in enumerate(texts) if _UNSAFE_CUT.search(text) or "\0" in text]
+        whole = [k for k, text in enumerate(texts) if _UNSAFE_CUT.search(text) or "\0" in text
+                 or self.added.search(text)]
         coded = dict(zip(whole, (ids.tobytes() for ids in self._whole([texts[k] for k in whole]))))
         cut = {k: text.replace(" ", "\0 ").split("\0") for k, text in enumerate(texts) if k not in coded}
         known, found = self.known, {}

@@ -47,6 +47,20 @@ def test_tokens_round_trip(spark, docs):
         start += len(ids)
 
 
+def test_tokens_are_those_of_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    texts = [(1, "one <|endoftext|> two"), (2, "a b"), (3, "x<|endoftext|><|endoftext|>"), (4, "<| endoftext |> one two")]
+    got = token_files.token_digests(docs(texts), tokenizer_path()).orderBy("start").collect()
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    assert 50256 in tokenizer.encode(texts[0][1], add_special_tokens=False).ids
+    start = 0
+    for row, (doc_id, text) in zip(got, texts, strict=True):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        assert tuple(row) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_codes_are_limited_complete_and_decodable():
     counts = np.array([0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1597, 2584, 4181, 6765])
     lengths = token_files.code_lengths(counts, 8)
