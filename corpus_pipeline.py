@@ -5,7 +5,8 @@ kept. Its result is a written table, which is the next stage's input: a lost exe
 running tasks, never an earlier stage.
 
 1. language_id: documents whose language is not recognised with confidence go.
-2. near_duplicates: of each group of near copies the document with the smallest id stays.
+2. near_duplicates: of each group of near copies (0.8 of the shingles of five words) the document with the smallest
+   id stays.
 3. decontaminate: documents with benchmark passages go.
 4. source_mix: documents repeat, or go, so that sources have their target weights.
 5. token_files: all documents are written as token files; a row tells where each lies in them.
@@ -21,13 +22,16 @@ from crmkiln.llm import decontaminate, language_id, mixing, ngram_join, token_fi
 from crmkiln.llm.common import DOCUMENT_COLUMNS, saved, table
 from crmkiln.llm.queries import tokenizer_path
 
+#: Words of a shingle, and similarity in hundredths, of the stage near_duplicates.
+SHINGLE, THRESHOLD = 5, 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.accepted(docs, DOCUMENT_COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.first_documents(docs, DOCUMENT_COLUMNS)
+    return ngram_join.first_documents(docs, DOCUMENT_COLUMNS, THRESHOLD, SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Operator 8: exact Jaccard join of shingle sets by universe partition and pigeonhole.
 
-Method. A document's set is that of its distinct 4-word shingles, as 64-bit hashes; equal sets are one
+Method. A document's set is that of its distinct shingles, of four words unless told otherwise, as 64-bit hashes; equal sets are one
 node from then on. Sets within the threshold differ in at most H tokens, H following from the sizes. Per
 band of sizes, a hash deals the token universe into segments; each segment has an allocation, 1 (its subset
 must be equal) or 2 (it may differ by one token: the subset and its one-deletion neighbourhood are indexed).
@@ -19,8 +19,8 @@ intersects the whole sets.
 Node ids and tokens are 64-bit hashes (tokens keep 48 bits within a pair): among n different texts the
 chance that any two share an id is about n**2 / 2**65.
 
-Defined cases: null or wordless text has an empty set, size 0, and is a component of its own; fewer than four words
-are one shingle; repeated rows link and share their smallest ``doc_id``; a null ``doc_id`` comes last, and is
+Defined cases: null or wordless text has an empty set, size 0, and is a component of its own; fewer words than a
+shingle's are one shingle; repeated rows link and share their smallest ``doc_id``; a null ``doc_id`` comes last, and is
 the component of rows linked with null ids only (null); an empty table gives no rows; other columns are ignored.
 """
 
@@ -66,16 +66,16 @@ def bands(largest: int, threshold: int = THRESHOLD) -> list[tuple[int, int, int,
     return found
 
 
-def token_sets(texts: pa.Array):
+def token_sets(texts: pa.Array, shingle: int = SHINGLE):
     """(first row, last row + 1, tokens, bounds): the sorted distinct shingles of each text."""
     for first, end, data, offsets in slices(texts):
         starts, ends, firsts = word_bounds(data, offsets, SPACED)
         words = range_hashes(prefix_sums(data, FOLDED_VALUES), starts, ends)
         n_words = np.diff(firsts)
-        n_windows = np.where(n_words >= SHINGLE, n_words - SHINGLE + 1, np.minimum(n_words, 1))
+        n_windows = np.where(n_words >= shingle, n_words - shingle + 1, np.minimum(n_words, 1))
         rows = np.repeat(np.arange(end - first), n_windows)
         begins = np.arange(len(rows)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + firsts[rows]
-        windows = window_hashes(word_sums(words), begins, begins + np.minimum(n_words, SHINGLE)[rows])
+        windows = window_hashes(word_sums(words), begins, begins + np.minimum(n_words, shingle)[rows])
         order = np.lexsort((windows, rows))
         windows, rows = windows[order], rows[order]
         new = np.ones(len(rows), bool)
@@ -155,12 +155,12 @@ def index_keys(tokens, bounds, plan, threshold):
     return np.concatenate(found_rows), np.concatenate(found_keys)
 
 
-def nodes_of(rows: DataFrame) -> DataFrame:
+def nodes_of(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Row key, ``doc_id``, ``n_shingles`` and node of every document."""
 
     def build(batches):
         for batch in batches:
-            for first, end, tokens, bounds in token_sets(batch.column(2)):
+            for first, end, tokens, bounds in token_sets(batch.column(2), shingle):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first),
                     pa.array(np.diff(bounds), pa.int64()), pa.array(node_ids(tokens, bounds)),
@@ -170,14 +170,14 @@ def nodes_of(rows: DataFrame) -> DataFrame:
         build, f"{ROW} long, doc_id long, n_shingles long, node long")
 
 
-def index_entries(rows: DataFrame, largest: int, threshold: int) -> DataFrame:
+def index_entries(rows: DataFrame, largest: int, threshold: int, shingle: int = SHINGLE) -> DataFrame:
     """``key`` and ``node`` of every index entry; a task indexes equal sets once."""
     plan = bands(largest, threshold)
 
     def build(batches):
         seen: set[int] = set()
         for batch in batches:
-            for _, _, tokens, bounds in token_sets(batch.column(0)):
+            for _, _, tokens, bounds in token_sets(batch.column(0), shingle):
                 nodes = node_ids(tokens, bounds)
                 owners, keys = index_keys(tokens, bounds, plan, threshold)
                 new = np.array([not (x in seen or seen.add(x)) for x in nodes.tolist()], bool)
@@ -235,12 +235,12 @@ def _unpacked(held: bytes) -> np.ndarray:
     return whole.view(np.uint64).ravel()
 
 
-def candidate_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def candidate_sets(rows: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Set, size and parity sketch of the wanted rows (row key, ``node``, ``leader``)."""
 
     def build(batches):
         for batch in batches:
-            for first, end, tokens, bounds in token_sets(batch.column(0)):
+            for first, end, tokens, bounds in token_sets(batch.column(0), shingle):
                 # Bit b of a sketch is the parity of the tokens with hash b: each token that two sets do
                 # not share flips one bit of their xor.
                 bits = (mix(tokens + np.uint64(7)) >> np.uint64(54)).astype(np.int64) % (64 * SKETCH_WORDS)
@@ -279,10 +279,10 @@ def verified(pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long")
 
 
-def links(rows: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(rows: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """``node`` and ``component`` of the nodes that are linked with others."""
     largest = nodes.agg(F.max("n_shingles")).first()[0] or 0
-    shared = saved(shared_keys(index_entries(rows, largest, threshold)), "shared")
+    shared = saved(shared_keys(index_entries(rows, largest, threshold, shingle)), "shared")
     degrees = shared.groupBy("node").agg(F.count("*").alias("degree"))
     ranked = saved(shared.join(degrees, "node"), "ranked")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead")).select(
@@ -293,7 +293,7 @@ def links(rows: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD) -> Data
         "node", F.col("best.leader").alias("leader"))
     first_rows = nodes.groupBy("node").agg(F.min(ROW).alias(ROW))
     wanted = first_rows.join(degrees.select("node"), "node", "left_semi").join(best, "node", "left")
-    sets = saved(candidate_sets(rows, wanted), "sets")
+    sets = saved(candidate_sets(rows, wanted, shingle), "sets")
     leading = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"), F.col("n").alias("n_b"))
     similar = f"100 * least(n, n_b) >= {threshold} * greatest(n, n_b)"
     edges = saved(verified(
@@ -322,11 +322,11 @@ def links(rows: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD) -> Data
     return components(edges.union(more))
 
 
-def near_duplicates(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """Row key, ``doc_id``, ``n_shingles``, ``component_id`` and ``component_row`` (the component's
     first row) of every row that has a key."""
-    nodes = saved(nodes_of(rows), "nodes")
-    linked = links(rows, nodes, threshold)
+    nodes = saved(nodes_of(rows, shingle), "nodes")
+    linked = links(rows, nodes, threshold, shingle)
     labelled = nodes.where("n_shingles > 0").join(linked, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     firsts = labelled.groupBy("component").agg(
@@ -341,8 +341,8 @@ def digests(docs: DataFrame) -> DataFrame:
     return near_duplicates(keyed(docs)).select("doc_id", "n_shingles", "component_id")
 
 
-def first_documents(docs: DataFrame, columns) -> DataFrame:
+def first_documents(docs: DataFrame, columns, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The first row of each component, unchanged."""
     rows = keyed(docs, columns)
-    firsts = near_duplicates(rows).where(f"{ROW} = component_row").select(ROW)
+    firsts = near_duplicates(rows, threshold, shingle).where(f"{ROW} = component_row").select(ROW)
     return rows.join(firsts, ROW, "left_semi").select(*columns)

@@ -1,6 +1,7 @@
 """The pipeline's stages on the smallest tables."""
 
 import corpus_pipeline
+from crmkiln.llm import ngram_join
 from crmkiln.llm.common import DOCUMENT_COLUMNS, table
 
 
@@ -21,3 +22,13 @@ def test_empty_input(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_near_copies_by_five_words(spark, docs):
+    words = [f"w{k}" for k in range(94)]
+    other = [f"v{k}" if k in (30, 60) else word for k, word in enumerate(words)]
+    rows = docs([(1, " ".join(words)), (2, " ".join(other)), (3, "something else")])
+    left = corpus_pipeline.drop_near_duplicates(spark, rows, "")
+    assert {row.doc_id for row in left.collect()} == {1, 3}
+    # The query's contract is four words and 0.85.
+    assert {row.component_id for row in ngram_join.digests(rows).collect()} == {1, 2, 3}
