@@ -7,7 +7,7 @@ running tasks, never an earlier stage.
 1. language_id: documents whose language is not recognised with confidence go.
 2. near_duplicates: of each group of near copies (0.8 of the shingles of five words) the document with the smallest
    id stays.
-3. decontaminate: documents with benchmark passages go.
+3. decontaminate: documents go of which benchmark passages are a twentieth; from others the passages are cut.
 4. source_mix: documents repeat, or go, so that sources have their target weights.
 5. token_files: all documents are written as token files; a row tells where each lies in them.
 

@@ -8,7 +8,10 @@ at least as long as the shortest window, are streamed; no other run can hold a m
 
 An automaton has at most two states per item word. Items are dealt into as many automata of at most
 ``AUTOMATON_WORDS`` words as the benchmark needs; what is sent to the executors is bounded, whatever the
-benchmark's size. A single item longer than that raises an error.
+benchmark's size. A longer item goes in pieces, which share all but one word of a window, so no window is lost.
+
+Spans are as long as a window, or a whole shorter item, and ``clean_documents`` cuts all of them out of the text; documents
+over the limit of coverage go as a whole.
 
 Defined cases: null or wordless text has no words, and null or wordless items no windows; repeated
 items and item ids count once, null item ids are never counted though their windows hit; rows that
@@ -122,23 +125,25 @@ class ItemAutomaton:
 def item_automata(benchmark: DataFrame, window: int):
     """Automata over all items, one after the other, each of at most ``AUTOMATON_WORDS`` words."""
 
+    most = AUTOMATON_WORDS
+    step = most - window + 1
+
     def words(batches):
         for batch in batches:
             for first, end, hashes, firsts in hashed_words(batch.column(1)):
-                lists = [hashes[a:b].view(np.int64) for a, b in zip(firsts[:-1], firsts[1:])]
+                pieces = [(text, x, min(b, x + most)) for text, (a, b) in enumerate(zip(firsts[:-1], firsts[1:]))
+                          for x in (range(a, b - window + 1, step) if b - a > most else [a])]
+                lists = [hashes[a:b].view(np.int64) for _, a, b in pieces]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first),
+                    [batch.column(0).take(pa.array([first + text for text, _, _ in pieces], pa.int64())),
                      pa.array(lists, pa.list_(pa.int64())),
                      pa.array([len(x) for x in lists], pa.int64())], ["name", "words", "n"])
 
     items = saved(benchmark.select(F.col("item_id").cast("string").alias("name"), "text").mapInArrow(
         words, "name string, words array<long>, n long").where("n > 0"), "items")
-    total, longest = items.agg(F.sum("n"), F.max("n")).first()
-    if not total:
+    if items.isEmpty():
         yield ItemAutomaton([], window)
         return
-    if longest > AUTOMATON_WORDS:
-        raise ValueError(f"an item of {longest} words does not fit an automaton of {AUTOMATON_WORDS}")
     held, size = [], 0
     # Items come to the driver a partition at a time and leave it with their automaton.
     for row in items.toLocalIterator():
@@ -212,7 +217,41 @@ def judged(hits: DataFrame) -> DataFrame:
     )
 
 
+def _without(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: int, end: int, spans) -> str:
+    """A text's bytes (``begin`` to ``end``) without the spans of its words, at ``starts`` and ``ends``."""
+    kept, at = [], begin
+    for span in spans:
+        kept.append(data[at:starts[span["first"]]].tobytes())
+        at = ends[span["end"] - 1]
+    return b"".join([*kept, data[at:end].tobytes()]).decode()
+
+
+def without_spans(hits: DataFrame, columns) -> DataFrame:
+    """The rows of the hits with their spans cut out of the text; ``n_chars`` follows the text."""
+    rows = hits.select("row.*", "spans")
+
+    def cut(batches):
+        for batch in batches:
+            for first, end, data, offsets in slices(batch.column("text")):
+                part = batch.slice(first, end - first)
+                starts, ends, firsts = word_bounds(data, offsets, ALNUM)
+                texts = part.column("text").to_pylist()
+                for k, spans in enumerate(part.column("spans").to_pylist()):
+                    if spans:
+                        own = slice(firsts[k], firsts[k + 1])
+                        texts[k] = _without(data, starts[own], ends[own], offsets[k], offsets[k + 1], spans)
+                at = part.schema.get_field_index("text")
+                yield part.set_column(at, "text", pa.array(texts, part.column(at).type))
+
+    found = rows.mapInArrow(cut, rows.schema)
+    if "n_chars" in columns:
+        kind = rows.schema["n_chars"].dataType
+        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(
+            F.col("n_chars")))
+    return found.select(*columns)
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, columns) -> DataFrame:
-    """The rows that are not contaminated, unchanged."""
+    """The rows that are not contaminated, without the passages of the benchmark they hold."""
     hits = benchmark_hits(docs, benchmark, keep=columns)
-    return hits.where(f"NOT ({CONTAMINATED})").select("row.*")
+    return without_spans(hits.where(f"NOT ({CONTAMINATED})"), columns)

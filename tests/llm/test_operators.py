@@ -14,6 +14,7 @@ from crmkiln.llm import (
     decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_rules, substring_dedup,
     suffix_dedup, token_files,
 )
+from crmkiln.llm.common import DOCUMENT_COLUMNS
 from crmkiln.llm.queries import tokenizer_path
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -227,6 +228,27 @@ def test_decontamination(spark, docs, monkeypatch):
     assert by_id[1][3] == 1 and by_id[3][5] is False and by_id[4][1] == 0 and by_id[5][2:4] == (3, 0)
 
 
+def test_benchmark_passages_are_cut_out(spark, docs):
+    item = " ".join(f"t{k}" for k in range(30))
+    benchmark = spark.createDataFrame([(7, item), (8, "Short Item")], "item_id long, text string")
+    long = "é x, " * 400
+    rows = [(1, f"{long}{item}. A SHORT-item! {long}"), (2, item), (3, long), (4, None), (5, " ".join(item.split()[:20]) + " " + long * 2)]
+    got = {row.doc_id: (row.text, row.n_chars) for row in decontaminate.clean_documents(
+        docs(rows), benchmark, DOCUMENT_COLUMNS).collect()}
+    want = {1: f"{long}. A ! {long}", 3: long, 4: None, 5: " " + long * 2}
+    assert got == {k: (text, len(text or "")) for k, text in want.items()}
+
+
+def test_benchmark_items_longer_than_an_automaton(spark, docs, monkeypatch):
+    item = [f"t{k}" for k in range(100)]
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    rows = [(k, "x " + " ".join(item[k:k + 13]) + " y") for k in range(88)] + [(200, " ".join(item[50:62]))]
+    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", 31)
+    got = {row.doc_id: (row.n_hit, row.n_items) for row in decontaminate.judged(
+        decontaminate.benchmark_hits(docs(rows), benchmark)).collect()}
+    assert got == {**{k: (13, 1) for k in range(88)}, 200: (0, 0)}
+
+
 def test_quality_bounds():
     # Zero failures: the bound solves (1 - p)**n = error.
     assert abs(quality_rules.upper_bound(0, 100, 0.05) - (1 - 0.05 ** 0.01)) < 1e-9
