@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from crmkiln.llm.answers import ORACLE_SQL  # noqa: F401
 from crmkiln.llm import (
-    decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_rules,
-    substring_dedup, suffix_dedup, token_files,
+    decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_rules, spelling,
+    substring_dedup, suffix_dedup, token_files, toxicity, whitening,
 )
 from crmkiln.llm.common import table
 
@@ -59,6 +61,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The contract's column is a long; beyond its range the deviation is unknown, not wrong.
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn(
+        "deviation", F.expr("try_cast(deviation AS LONG)"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_license_scan": op2_license_scan,
@@ -70,6 +86,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
+    "op11_toxicity": op11_toxicity,
+    "op12_whitening": op12_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-
-ORACLE_SQL: dict[str, str] = {}
