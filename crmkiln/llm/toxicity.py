@@ -6,18 +6,18 @@ hashed to 64 bits. The score is the logistic function of
     bias + sum of w[t] + sum over pairs t < u of <v[t], v[u]>
 
 so that two terms, such as an insult and the mention of a group, may count for more, or less, than the sum
-of what each counts for alone. ``w`` and ``v`` have normal priors; they are fitted to all labelled
-rows of the fold by full-batch Adam. A step is a Spark job: tasks add up the gradient of their rows, Spark
+of what each counts for alone. ``w`` and ``v`` have normal priors; they are fitted to the labelled
+rows of the fold, those of ``SAMPLE`` ids at most, by full-batch Adam. A step is a Spark job: tasks add up the gradient of their rows, Spark
 sums them by term, and the driver takes the step.
 
-Which terms have parameters is decided by counts over all labelled rows: those whose share of toxic rows
+Which terms have parameters is decided by counts over these rows: those whose share of toxic rows
 differs from the share of all rows by more than chance allows among so many terms (a z-score
 above ``sqrt(2 ln terms)``), and those that do so among the rows which hold a term of the
 first kind that speaks for toxicity; these act in company only. ``TERMS`` bounds the size of the model: beyond it the terms
 with the largest z-scores are taken. Rows with the same terms are combined before the fit.
 
 Memory. The model has ``TERMS`` x (``FACTORS`` + 1) numbers at most, which are what the driver and each task hold.
-A term that has none is not looked at. Term counts grow with the labelled rows, and are Spark's.
+The labels of the sample, which are sent to all tasks too, take 16 bytes each. Term counts are Spark's.
 
 Defined cases: a null, empty or wordless text has the score of a text without known terms; labels without a
 document, without an id, or null, do not count; a document with several labels is toxic if one of them says so; documents
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from crmkiln.llm.arrays import ALNUM, FOLDED_VALUES, prefix_sums, range_hashes, slices, word_bounds
 from crmkiln.llm.common import saved
 
+#: Labelled ids that the model is fitted to, at most (but for the chance of their hashes).
+SAMPLE = 1 << 17
 #: Numbers of a term's factor, largest number of terms, steps of the fit and their first length.
 FACTORS = 4
 TERMS = 1 << 15
@@ -98,12 +100,20 @@ def _known(texts: np.ndarray, hashes: np.ndarray, terms: np.ndarray):
     return texts[held], places[held]
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text`` and ``toxic`` of every labelled row outside the held-out fold."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``text`` and ``toxic`` of the labelled rows outside the held-out fold.
+
+    The labels of about ``sample`` ids at most, those with the smallest hashes, are sent to all tasks, so that no
+    text is shuffled.
+    """
     said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
-    learned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"NOT ({HELD_OUT})")
-    return learned.join(said, "doc_id").select("text", "toxic")
+    said = saved(said.where(f"NOT ({HELD_OUT})"), "said")
+    n = said.count()
+    if n > sample:
+        said = said.where(f"pmod(xxhash64(doc_id), {1 << 40}) < {(sample << 40) // n}")
+    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return pairs.join(F.broadcast(said), "doc_id").select("text", "toxic")
 
 
 def term_counts(rows: DataFrame, company: np.ndarray | None = None) -> DataFrame:

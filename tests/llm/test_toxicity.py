@@ -114,3 +114,10 @@ def test_odd_rows(spark, odd, empty):
     assert toxicity.scored(empty, labels).count() == 0
     rows = toxicity.scored(odd, labels_of(spark, [])).collect()
     assert all(row.score == pytest.approx(toxicity.PRIOR) for row in rows) and {row.predicted for row in rows} == {0}
+
+
+def test_sample_is_bounded(spark, docs):
+    rows, marks = made(6, 1000, lambda held: "slur" in held)
+    n = toxicity.labelled(docs(rows), labels_of(spark, marks), 200).count()
+    assert 150 < n < 250
+    assert toxicity.labelled(docs(rows), labels_of(spark, marks)).count() == sum(not held_out(k) for k, _ in rows)
