@@ -10,19 +10,21 @@ decoded side by side, each step one look-up in a table of 2**16 entries.
 The files are Parquet rows, one per block (and one table of code lengths), so Spark's writers commit
 them and any executor can read any block. Nothing but the 50 thousand counts passes the driver.
 
-Defined cases: null text is empty, and has the end id alone; documents longer than a block go over
-several; rows that repeat a ``doc_id`` are coded one after the other, by a hash of their ids; null ``doc_id`` is last;
+A document with more than ``block_ids`` ids has blocks of its own, and is put together from them (its digest from theirs) when read.
+A text is encoded whole in one task, which takes some 60 bytes per byte of the longest text; coding and decoding hold a block.
+
+Defined cases: null text is empty, and has the end id alone; rows that repeat a ``doc_id`` are coded one after the other, by a hash of their ids; null ``doc_id`` is last;
 an empty table gives files without blocks; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
-import re
 import sys
+import threading
 import types
 import uuid
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,98 +32,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crmkiln.llm import common
+from crmkiln.llm.word_cache import WordEncoder, id_type
 
 MAX_BITS = 16
 CHECKPOINT = 64
 BLOCK_IDS = 1 << 16
-CACHED_WORDS = 300_000
-
-# White space next to a space, or at the end.
-_UNSAFE_CUT = re.compile(r"\s(?:(?= |\Z)|(?<= \s))")
-WORDS_AT_ONCE = 1000
-
+#: After so many seconds without use a process lets go of its tokenizer and words.
+IDLE_SECONDS = 20
 
-def id_type(vocabulary: int) -> str:
-    """Unsigned integers that hold all ids, and little more: ids are shuffled in this form."""
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
+def _encoder(path: str) -> WordEncoder:
+    """The process's encoder, with the words it remembers, until no task has asked for it for ``IDLE_SECONDS``.
 
-class WordEncoder:
-    """Token ids of texts by way of their words.
-
-    The byte-level pattern begins a new piece at every single space between two other characters, so
-    a text may be cut there and each distinct word encoded once. A space then occurs at the start of
-    a word only, and so marks the first token of each word when many words are encoded as one text.
-    Texts with other white space at a cut, or with the content of an added token, take the tokenizer
-    whole. The first ``CACHED_WORDS`` distinct words of a process are remembered.
+    It hangs on a module of its own, because the globals of functions that are sent to tasks last no longer than a
+    task, and travel with them.
     """
-
-    def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        # Without added tokens, what never matches.
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.kind = id_type(self.tokenizer.get_vocab_size())
-        vocabulary = self.tokenizer.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
-        self.begins[[k for token, k in vocabulary.items() if token.startswith(space)]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind) for x in coded]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        spaced = [word for word in words if word.startswith(" ")]
-        alone = [word for word in words if not word.startswith(" ")]
-        groups = [spaced[k:k + WORDS_AT_ONCE] for k in range(0, len(spaced), WORDS_AT_ONCE)]
-        # Words of different texts may make up an added token with a space in it.
-        alone += [word for group in groups if self.added.search("".join(group)) for word in group]
-        groups = [group for group in groups if not self.added.search("".join(group))]
-        found = {word: ids.tobytes() for word, ids in zip(alone, self._whole(alone))}
-        for group, ids in zip(groups, self._whole(["".join(group) for group in groups])):
-            begins = np.flatnonzero(self.begins[ids])
-            if len(begins) != len(group):
-                raise ValueError("the tokenizer does not begin a piece at every space")
-            ends = [*(begins[1:] * ids.itemsize).tolist(), ids.nbytes]
-            joined, first = ids.tobytes(), 0
-            for word, end in zip(group, ends):
-                found[word] = joined[first:end]
-                first = end
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of ``kind``."""
-        whole = [k for k, text in enumerate(texts) if _UNSAFE_CUT.search(text) or "\0" in text
-                 or self.added.search(text)]
-        coded = dict(zip(whole, (ids.tobytes() for ids in self._whole([texts[k] for k in whole]))))
-        cut = {k: text.replace(" ", "\0 ").split("\0") for k, text in enumerate(texts) if k not in coded}
-        known, found = self.known, {}
-        parts = {k: list(map(known.get, words)) for k, words in cut.items()}
-        new = {word for k, words in cut.items() if None in parts[k]
-               for word, ids in zip(words, parts[k]) if ids is None}
-        if new:
-            found = self._learn(list(new))
-            if len(known) < CACHED_WORDS:
-                known.update(found)
-        for k, ids in parts.items():
-            if None in ids:
-                ids = [found[word] if x is None else x for word, x in zip(cut[k], ids)]
-            coded[k] = b"".join(ids)
-        return [coded[k] for k in range(len(texts))]
-
-
-def _encoder(path: str) -> WordEncoder:
-    """The process's encoder. It hangs on a module of its own, because the globals of functions that
-    are sent to tasks last no longer than a task, and travel with them."""
     held = sys.modules.setdefault("crmkiln_encoders", types.ModuleType("crmkiln_encoders")).__dict__
-    if path not in held:
-        held[path] = WordEncoder(path)
-    return held[path]
+    if "timer" in held:
+        held.pop("timer").cancel()
+    encoder = held.get(path) or held.setdefault(path, WordEncoder(path))
+    held["timer"] = timer = threading.Timer(IDLE_SECONDS, held.clear)
+    timer.daemon = True
+    timer.start()
+    return encoder
 
 
 # ---------------------------------------------------------------------------------------- codes
@@ -216,17 +149,16 @@ def decode_block(
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """``doc_id`` and ``ids`` (of ``id_type``, with the end id) of every row."""
-    end = np.array([end_id], _encoder(tokenizer_path).kind).tobytes()
 
     def encode(batches):
         encoder = _encoder(tokenizer_path)
+        width = np.dtype(encoder.kind).itemsize
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                texts = [text or "" for text in part.column(1).to_pylist()]
-                ids = [coded + end for coded in encoder.encode(texts)]
+            for first, end, ids, bounds in encoder.encode(batch.column(1), end_id):
+                coded = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), end - first, [None, pa.py_buffer(bounds * width), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                    [batch.column(0).slice(first, end - first), coded.cast(pa.binary())], ["doc_id", "ids"])
 
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return pairs.mapInArrow(encode, "doc_id long, ids binary")
@@ -241,9 +173,10 @@ def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             column = batch.column(0).cast(pa.large_binary())
-            for first in range(0, len(column), 1024):
-                joined = b"".join(column.slice(first, 1024).to_pylist())
-                total += np.bincount(np.frombuffer(joined, kind), minlength=vocabulary)
+            _, where, held = column.buffers()
+            ends = np.frombuffer(where, np.int64)[[column.offset, column.offset + len(column)]]
+            if held is not None:
+                total += np.bincount(np.frombuffer(held, np.uint8)[ends[0]:ends[1]].view(kind), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -255,8 +188,8 @@ def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 BLOCK_SCHEMA = (
-    "shard int, block int, first long, n_ids long, doc_ids array<long>, doc_sizes array<long>, "
-    "bits binary, checkpoints binary"
+    "shard int, block int, first long, n_ids long, part int, doc_first long, doc_ids array<long>, "
+    "doc_sizes array<long>, bits binary, checkpoints binary"
 )
 
 
@@ -270,7 +203,6 @@ def write_tokens(
     if not 0 <= end_id < vocabulary:
         raise ValueError(f"the end id must be one of the {vocabulary} ids of the tokenizer")
     counts, kind = id_counts(ids, vocabulary), id_type(vocabulary)
-    width = np.dtype(kind).itemsize
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
     spark.createDataFrame(
@@ -283,28 +215,36 @@ def write_tokens(
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         names, sizes, parts, held = [], [], [], 0
 
-        def flush():
-            bits, checkpoints = encode_block(np.frombuffer(b"".join(parts), kind), codes, lengths)
-            row = [shard], [block], [first], [held], [names], [sizes], [bits], [checkpoints]
+        def row(ids, names, sizes, part=None, doc_first=None):
+            nonlocal block, first
+            bits, checkpoints = encode_block(ids, codes, lengths)
+            values = shard, block, first, len(ids), part, doc_first, names, sizes, bits, checkpoints
+            block, first = block + 1, first + len(ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array(value, kind) for value, kind in zip(row, kinds)], labels)
+                [pa.array([value], kind) for value, kind in zip(values, kinds)], labels)
 
-        labels = ["shard", "block", "first", "n_ids", "doc_ids", "doc_sizes", "bits", "checkpoints"]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
+        labels = [field.split()[0] for field in BLOCK_SCHEMA.split(", ")]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()),
                  pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for batch in batches:
             for doc_id, coded in zip(batch.column(0).to_pylist(), batch.column(1)):
-                coded = coded.as_py()
-                if held and held + len(coded) // width > block_ids:
-                    yield flush()
-                    block, first, held = block + 1, first + held, 0
-                    names, sizes, parts = [], [], []
+                ids = np.frombuffer(coded.as_buffer(), kind)
+                if held and held + len(ids) > block_ids:
+                    yield row(np.concatenate(parts), names, sizes)
+                    names, sizes, parts, held = [], [], [], 0
+                if len(ids) > block_ids:
+                    # A long document has blocks of its own.
+                    doc_first = first
+                    for part, at in enumerate(range(0, len(ids), block_ids)):
+                        piece = ids[at:at + block_ids]
+                        yield row(piece, [doc_id], [len(piece)], part, doc_first)
+                    continue
                 names.append(doc_id)
-                sizes.append(len(coded) // width)
-                parts.append(coded)
-                held += len(coded) // width
+                sizes.append(len(ids))
+                parts.append(ids)
+                held += len(ids)
         if held:
-            yield flush()
+            yield row(np.concatenate(parts), names, sizes)
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("hash")]
     hashed = ids.select("doc_id", F.xxhash64("ids").alias("hash"), "ids")
@@ -314,40 +254,77 @@ def write_tokens(
 
 def read_tokens(spark, path: str) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and ``ids`` of every document in the files."""
-    tables, starts = _reading(spark, path)
-
-    def unpack(batches):
-        for block, ids in _blocks(batches, tables):
-            ends = np.cumsum(block["doc_sizes"])
-            begins = ends - block["doc_sizes"]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(block["doc_ids"], pa.int64()),
-                pa.array(begins + starts[block["shard"]] + block["first"], pa.int64()),
-                pa.array(block["doc_sizes"], pa.int64()),
-                pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()),
-            ], ["doc_id", "start", "n_tokens", "ids"])
-
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    return _read(spark, path, "ids", "binary", lambda ids: ids.tobytes(), lambda parts, _: b"".join(parts))
 
 
 def read_digests(spark, path: str) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and the CRC-32 of the ids of every document."""
+    return _read(spark, path, "ids_crc32", "long", zlib.crc32, lambda parts, sizes: reduce(
+        lambda a, b: (crc32_joined(a[0], *b), None), zip(parts, (4 * n for n in sizes)))[0])
+
+
+def _read(spark, path: str, name: str, kind: str, of_ids, of_parts) -> DataFrame:
+    """``name`` is what ``of_ids`` says of a document's ids, or ``of_parts`` of the values of its parts in order, and their sizes."""
     tables, starts = _reading(spark, path)
+    columns, arrow = ["doc_id", "start", "n_tokens", name], pa.binary() if kind == "binary" else pa.int64()
+    schema = f"doc_id long, start long, n_tokens long, {name} {kind}"
+
+    def frame(doc_ids, begins, sizes, values):
+        kinds = pa.int64(), pa.int64(), pa.int64(), arrow
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip((doc_ids, begins, sizes, values), kinds)], columns)
 
-    def digest(batches):
+    def whole(batches):
         for block, ids in _blocks(batches, tables):
             ends = np.cumsum(block["doc_sizes"])
             begins = ends - block["doc_sizes"]
+            yield frame(block["doc_ids"], begins + starts[block["shard"]] + block["first"], block["doc_sizes"],
+                        [of_ids(ids[a:b]) for a, b in zip(begins, ends)])
+
+    def part(batches):
+        for block, ids in _blocks(batches, tables):
             yield pa.RecordBatch.from_arrays([
-                pa.array(block["doc_ids"], pa.int64()),
-                pa.array(begins + starts[block["shard"]] + block["first"], pa.int64()),
-                pa.array(block["doc_sizes"], pa.int64()),
-                pa.array([zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)], pa.int64()),
-            ], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                pa.array([block["shard"]], pa.int32()), pa.array([block["doc_first"]], pa.int64()),
+                pa.array([block["part"]], pa.int32()), pa.array(block["doc_ids"], pa.int64()),
+                pa.array([len(ids)], pa.int64()), pa.array([of_ids(ids)], arrow),
+            ], ["shard", "doc_first", "part", "doc_id", "n", "value"])
+
+    def join(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = [p["n"] for p in row["parts"]]
+                yield frame([row["doc_id"]], [starts[row["shard"]] + row["doc_first"]], [sum(sizes)],
+                            [of_parts([p["value"] for p in row["parts"]], sizes)])
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    short = blocks.where("part IS NULL").mapInArrow(whole, schema)
+    parts = blocks.where("part IS NOT NULL").mapInArrow(
+        part, f"shard int, doc_first long, part int, doc_id long, n long, value {kind}")
+    # One row per block of a long document; the document is a row of its own in the end.
+    long = parts.groupBy("shard", "doc_first", "doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("part", "n", "value"))).alias("parts")).mapInArrow(join, schema)
+    return short.unionAll(long)
+
+
+def crc32_joined(first: int, second: int, size: int) -> int:
+    """The CRC-32 of two texts put together, from that of each and the bytes of the second: the first goes on over ``size``
+    zero bytes, which is a linear map, found by squaring."""
+
+    def times(matrix, vector):
+        out = 0
+        for k in range(32):
+            if vector >> k & 1:
+                out ^= matrix[k]
+        return out
+
+    # A zero bit shifts to the right and folds what falls out back in (the reversed polynomial of CRC-32).
+    step = [0xEDB88320] + [1 << k for k in range(31)]
+    bits = 8 * size
+    while bits:
+        if bits & 1:
+            first = times(step, first)
+        step, bits = [times(step, column) for column in step], bits >> 1
+    return first ^ second
 
 
 def _reading(spark, path: str):
@@ -370,7 +347,8 @@ def _blocks(batches, tables):
             row = batch.slice(k, 1).to_pylist()[0]
             ids = decode_block(row["bits"], row["checkpoints"], row["n_ids"], tables)
             row["doc_sizes"] = np.array(row["doc_sizes"], np.int64)
-            yield row, ids
+            # Digests are over unsigned 32-bit integers.
+            yield row, ids.astype("<u4", copy=False)
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 
 from crmkiln.llm import (
     decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_rules, substring_dedup,
-    suffix_dedup, token_files,
+    suffix_dedup, token_files, word_cache,
 )
 from crmkiln.llm.common import DOCUMENT_COLUMNS
 from crmkiln.llm.queries import tokenizer_path
@@ -62,6 +62,70 @@ def test_tokens_are_those_of_the_library(spark, docs):
         start += len(ids)
 
 
+def library_rows(texts):
+    """What the contract says of (doc_id, text) pairs with distinct ids, by the library alone."""
+    from tokenizers import Tokenizer
+
+    tokenizer, start, rows = Tokenizer.from_file(tokenizer_path()), 0, []
+    for doc_id, text in sorted(texts):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        rows.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return rows
+
+
+def test_token_files_with_documents_longer_than_a_block(spark, docs, tmp_path):
+    rng = random.Random(8)
+    texts = [(k, " ".join(rng.choice(["ab", "the", "Éa", "x1"]) for _ in range(rng.choice([0, 3, 99, 100, 101, 450]))))
+             for k in range(40)]
+    token_files.write_tokens(docs(texts), f"{tmp_path}/t", tokenizer_path(), block_ids=100)
+    want = library_rows(texts)
+    assert [tuple(row) for row in token_files.read_digests(spark, f"{tmp_path}/t").orderBy("start").collect()] == want
+    blocks = spark.read.parquet(f"{tmp_path}/t/blocks").collect()
+    assert max(row.n_ids for row in blocks) <= 100 and max(row.part or 0 for row in blocks) >= 4
+    tokens = token_files.read_tokens(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert [(row.doc_id, row.start, row.n_tokens, zlib.crc32(np.frombuffer(row.ids, "<u4").tobytes())) for row in tokens] == want
+
+
+def test_crc32_of_joined_texts():
+    rng = random.Random(9)
+    for _ in range(50):
+        a, b = (rng.randbytes(rng.choice([0, 1, 5, 1000])) for _ in range(2))
+        assert token_files.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_word_encoder_on_odd_white_space(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(word_cache, "CACHED_WORDS", 60)
+    rng = random.Random(10)
+    parts = [" ", " ", "  ", "a", "b", "\n", " \n", "\u2003", "\u3000", "\xa0", "é", "'s", "1", "<|endoftext|>", "!", "\t",
+             "\x85", "\x1c", " x", " yé", "ß", "\0", "木"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(5000)] + [None, "", " ", "long" * 900]
+    tokenizer, got = Tokenizer.from_file(tokenizer_path()), []
+    encoder = word_cache.WordEncoder(tokenizer_path())
+    for first in range(0, len(texts), 500):
+        for _, _, ids, bounds in encoder.encode(pa.array(texts[first:first + 500], pa.string())):
+            got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts]
+    assert len(encoder.table) < 1000
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    # Hashes of a few bits: nearly all words share theirs with others.
+    true = word_cache.range_hashes
+    monkeypatch.setattr(word_cache, "range_hashes", lambda *a: true(*a) & np.uint64(7))
+    texts = ["one two three", "four five", "six", "one two", "ten eleven twelve", "one"]
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), word_cache.WordEncoder(tokenizer_path())
+    for _, _, ids, bounds in encoder.encode(pa.array(texts), 0):
+        got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [tokenizer.encode(text).ids + [0] for text in texts]
+
+
 def test_codes_are_limited_complete_and_decodable():
     counts = np.array([0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1597, 2584, 4181, 6765])
     lengths = token_files.code_lengths(counts, 8)
