@@ -19,6 +19,8 @@ from crmkiln.llm.arrays import BYTE_VALUES, expand, prefix_sums, range_hashes, s
 #: Words, and bytes of words, that a cache keeps from one slice of texts to the next.
 CACHED_WORDS = 1 << 19
 CACHED_BYTES = 1 << 24
+#: Bytes of texts that are encoded at once (more where a text is longer): their arrays fit into a core's own cache.
+SLICE_BYTES = 1 << 18
 #: Unseen words that are encoded as one text.
 WORDS_AT_ONCE = 128
 
@@ -63,8 +65,8 @@ class WordTable:
 
     def __init__(self, kind: str):
         self.kind = kind
-        self.hashes, self.starts, self.sizes = _Column(_U), _Column(np.int64), _Column(np.int32)
-        self.firsts, self.counts, self.used = _Column(np.int64), _Column(np.int32), _Column(np.int32)
+        self.hashes, self.starts, self.sizes = _Column(_U), _Column(np.int32), _Column(np.int32)
+        self.firsts, self.counts, self.used = _Column(np.int32), _Column(np.int32), _Column(np.int32)
         self.letters, self.ids = _Column(np.uint8), _Column(kind)
         self.slots = np.full(1 << 13, -1, np.int32)
 
@@ -190,13 +192,14 @@ class WordEncoder:
             counts.append(counted)
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _learn(self, data, starts, ends, hashes) -> None:
-        """Add the words that the table has not, one of each hash."""
-        new = np.flatnonzero(self.table.find(hashes) < 0)
-        if not len(new):
-            return
-        _, first = np.unique(hashes[new], return_index=True)
-        new = new[first]
+    def _learn(self, data, starts, ends, hashes) -> np.ndarray:
+        """Number of each word; those that the table has not are added, one of each hash."""
+        numbers = self.table.find(hashes)
+        missing = np.flatnonzero(numbers < 0)
+        if not len(missing):
+            return numbers
+        _, first = np.unique(hashes[missing], return_index=True)
+        new = missing[first]
         spaced = data[starts[new]] == 32
         for chosen, is_spaced in ((new[spaced], True), (new[~spaced], False)):
             if not len(chosen):
@@ -210,6 +213,8 @@ class WordEncoder:
                 parts = self._whole([letters[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:])])
                 ids, counts = np.concatenate(parts), np.array([len(part) for part in parts])
             self.table.add(hashes[chosen], letters, sizes, ids, counts, self.now)
+        numbers[missing] = self.table.find(hashes[missing])
+        return numbers
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None):
         """Ids of the texts of a slice, and the offsets of the texts in them."""
@@ -227,8 +232,7 @@ class WordEncoder:
         cut = ~whole[texts]
         starts, ends, texts = starts[cut], ends[cut], texts[cut]
         hashes = range_hashes(prefix_sums(data, BYTE_VALUES), starts, ends)
-        self._learn(data, starts, ends, hashes)
-        numbers = table.find(hashes)
+        numbers = self._learn(data, starts, ends, hashes)
         table.used.values[numbers] = self.now
 
         # Words of one hash are one word where their bytes are.
@@ -272,5 +276,5 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end_id: int | None = None):
         """(first row, last row + 1, ids, offsets) for runs of the texts; null counts as empty, and each text ends in
         ``end_id`` where one is given."""
-        for first, end, data, offsets in slices(texts):
+        for first, end, data, offsets in slices(texts, SLICE_BYTES):
             yield first, end, *self._slice(data, offsets, end_id)
