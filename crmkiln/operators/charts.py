@@ -1,7 +1,8 @@
 """The 21 chart datasets: ordered, scaled and rounded views of the aggregates.
 
-A chart has one row per label, so its frames are as small as what a browser can draw. ``position``
-carries the order, ties are settled by the label.
+A chart has one row per label, so most frames are as small as what a browser can draw; a chart whose labels
+grow with the data is ``wide``, and its rows are ranked in many tasks. ``position`` carries the order, ties are
+settled by the label.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from crmkiln import labels
 from crmkiln.functions.columns import hour_label, ordinal, round_exact
 from crmkiln.functions.measures import named
+from crmkiln.operators import ranking
 from crmkiln.operators.aggregates import AGGREGATES, Aggregate
 
 
@@ -36,13 +38,15 @@ class Series:
 
 @dataclass(frozen=True)
 class Chart:
-    """``order`` is None for label order, a measure name for descending order, or a label list."""
+    """``order`` is None for label order, a measure name for descending order, or a label list.
+    ``wide``: all of a label set without a bound are shown."""
 
     name: str
     aggregate: str
     series: tuple[Series, ...]
     order: str | tuple[str, ...] | None = None
     top: int | None = None
+    wide: bool = False
 
     @property
     def spec(self) -> Aggregate:
@@ -127,7 +131,7 @@ _CHARTS = [
         _whole("ticket_count"), _number("avg_resolution", "avg_resolution_hours", 1),
         _percent("sla_compliance"),
     ), order=tuple(labels.TICKET_PRIORITIES)),
-    Chart("web_top_pages", "web_by_page", _TRAFFIC, order="sessions"),
+    Chart("web_top_pages", "web_by_page", _TRAFFIC, order="sessions", wide=True),
     Chart("web_by_country", "web_by_country",
           (_whole("sessions"), _percent("conversion_rate", digits=2)),
           order="sessions", top=labels.TOP_COUNTRIES),
@@ -146,16 +150,31 @@ def _quoted(name: str) -> str:
     return f"`{name}`"
 
 
+def _first_to_last(chart: Chart) -> list[str]:
+    return [chart.sort_key(chart.spec.key, _quoted), chart.spec.key]
+
+
+def shown(chart: Chart, aggregated: DataFrame) -> DataFrame:
+    """The rows of the aggregate table that the chart shows: those with a label, and the first ones only
+    where it has a limit."""
+    labelled = aggregated.where(f"{chart.spec.key} IS NOT NULL")
+    if chart.top is None:
+        return labelled
+    # Planned as TakeOrderedAndProject: each task keeps its own top rows only.
+    return labelled.orderBy(*[F.expr(expression) for expression in _first_to_last(chart)]).limit(chart.top)
+
+
 def chart_frame(chart: Chart, aggregated: DataFrame) -> DataFrame:
     """The chart as rows: position, label, series. ``aggregated`` is its aggregate table."""
     key = chart.spec.key
-    first_to_last = [chart.sort_key(key, _quoted), key]
-    if chart.top is not None:
-        # Planned as TakeOrderedAndProject: each task keeps its own top rows only.
-        order = [F.expr(expression) for expression in first_to_last]
-        aggregated = aggregated.orderBy(*order).limit(chart.top)
-    return aggregated.selectExpr(*named({
-        "position": f"CAST(row_number() OVER (ORDER BY {', '.join(first_to_last)}) AS BIGINT)",
+    rows = shown(chart, aggregated)
+    position = f"CAST(row_number() OVER (ORDER BY {', '.join(_first_to_last(chart))}) AS BIGINT)"
+    if chart.wide:
+        read = {key, *[s.measure for s in chart.series]}
+        rows = ranking.with_position(rows.select(*sorted(read)), _first_to_last(chart), "__position")
+        position = "`__position`"
+    return rows.selectExpr(*named({
+        "position": position,
         chart.label_name: chart.label(key),
         **{s.name: s.value(_quoted(s.measure)) for s in chart.series},
     }))
@@ -176,8 +195,10 @@ def funnel(chart_rows: DataFrame, column: str) -> DataFrame:
 
 
 def traffic_share(chart_rows: DataFrame) -> DataFrame:
-    """Sessions of a page as a share of the busiest page in percent."""
-    return chart_rows.selectExpr("*", f"{_share_of_largest('sessions')} AS traffic_share")
+    """Sessions of a page as a share of the busiest page in percent. Pages may be many: the largest number is
+    one value, found by a partial aggregate, not a window over all pages."""
+    busiest = chart_rows.agg(F.max("sessions")).scalar()
+    return chart_rows.select("*", (F.col("sessions") / busiest * 100).alias("traffic_share"))
 
 
 def top_industries(aggregated: DataFrame) -> DataFrame:

@@ -31,8 +31,9 @@ RULES: dict[str, dict[str, str]] = {
 
 
 def columns_of(source: str) -> set[str]:
-    """Feature columns that an entity's rules read; no grouping column is among them."""
-    return {
+    """Columns that the checks of an entity read: those of its rules, and the keys of its aggregates."""
+    keys = {spec.key for spec in aggregates.of_source(source)}
+    return keys | {
         column for column in ("company_id", "company_age", "contact_id", "engagement_index", "deal_id",
                               "weighted_amount", "is_won", "sla_met")
         if any(column in rule for rule in RULES.get(source, {}).values())
@@ -47,16 +48,27 @@ def _rows(checks: dict[str, str]) -> str:
     return f"array({rows}) AS checks"
 
 
-def _check_rules(source: str, processed: DataFrame) -> DataFrame:
+def _filled(name: str) -> str:
+    return f"{name} is not empty"
+
+
+def _violations(source: str) -> dict[str, str]:
     # A rule that is not known to hold is violated.
-    checks = {
-        name: f"count_if(NOT coalesce({rule}, false))" for name, rule in RULES[source].items()
+    return {
+        name: f"count_if(NOT coalesce({rule}, false))" for name, rule in RULES.get(source, {}).items()
     }
-    return processed.selectExpr(_rows(checks)).selectExpr("inline(checks)")
 
 
-def _filled(name: str) -> str:
-    return f"{name} is not empty"
+def _unfilled(source: str) -> dict[str, str]:
+    """An aggregate has a group exactly where some row of its entity has its key."""
+    return {
+        _filled(spec.name): f"if(count_if({spec.keyed}) > 0, 0L, 1L)"
+        for spec in aggregates.of_source(source)
+    }
+
+
+def _checked(processed: DataFrame, checks: dict[str, str]) -> DataFrame:
+    return processed.selectExpr(_rows(checks)).selectExpr("inline(checks)")
 
 
 def filled_tables(aggregated: dict[str, DataFrame]) -> list[DataFrame]:
@@ -83,10 +95,21 @@ def check(spark: SparkSession, processed: dict[str, DataFrame], filled: list[Dat
 
     ``processed``: the entities that exist; ``filled``: the checks of their aggregates.
     """
+    rules = [_checked(df, _violations(source)) for source, df in processed.items() if source in RULES]
+    return _report(spark, rules + filled)
+
+
+def check_rows(spark: SparkSession, processed: dict[str, DataFrame]) -> DataFrame:
+    """All checks from the entities that exist alone: one scan of each, of the columns its checks read, and one
+    exchanged row per task; no aggregate is computed."""
+    return _report(spark, [
+        _checked(df, {**_violations(source), **_unfilled(source)}) for source, df in processed.items()])
+
+
+def _report(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
     names = [name for rules in RULES.values() for name in rules]
     names += [_filled(name) for name in aggregates.AGGREGATES]
     every = spark.createDataFrame([(name,) for name in names], "check string")
-    parts = [_check_rules(source, df) for source, df in processed.items() if source in RULES] + filled
     if not parts:
         return every.selectExpr("check", "1L AS violations")
     found = reduce(DataFrame.unionByName, parts)

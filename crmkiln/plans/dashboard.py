@@ -1,8 +1,9 @@
 """The combined dashboard document and its JSON forms.
 
 The document is built from the per-entity summaries: every entity is scanned once for all of its
-charts and KPIs. A summary has one row per chart label; each entity then folds into a single row
-of lists, and the entities are put side by side by a union and a final aggregate (no join).
+charts and KPIs. A summary has one row per chart label, of which a chart with a limit keeps its first ones; each
+entity then folds into a single row of lists, and the entities are put side by side by a union and a final
+aggregate (no join).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from crmkiln.functions.columns import text
 from crmkiln.functions.measures import named
 from crmkiln.operators import kpis
 from crmkiln.operators.aggregates import belongs, key_of
-from crmkiln.operators.charts import CHARTS, Chart, Series
+from crmkiln.operators.charts import CHARTS, Chart, Series, shown
 
 
 def _struct(fields: dict[str, str]) -> str:
@@ -35,8 +36,7 @@ def _ordered_rows(chart: Chart, member: str, key: str, measure: Callable[[str],
         "label": chart.label(key),
         **{s.name: s.value(measure(s.measure)) for s in chart.series},
     })
-    ordered = f"sort_array(collect_list(CASE WHEN {member} THEN {row} END))"
-    return f"slice({ordered}, 1, {chart.top})" if chart.top is not None else ordered
+    return f"sort_array(collect_list(CASE WHEN {member} THEN {row} END))"
 
 
 def _from_summary(chart: Chart) -> str:
@@ -47,6 +47,21 @@ def _from_summary(chart: Chart) -> str:
     )
 
 
+def _limited(source: str, summary: DataFrame) -> DataFrame:
+    """The summary without the groups that a chart with a limit does not show. Spark plans the condition on the rank
+    as a limit per task and group before the exchange; all other summary rows are groups of one."""
+    for chart in _charts_of(source):
+        if chart.top is None:
+            continue
+        spec = chart.spec
+        group = f"CASE WHEN {belongs(spec)} THEN '' ELSE concat(`grouping`, ' ', key) END"
+        order = [chart.sort_key(key_of(spec), lambda alias: spec.measures[alias].name), key_of(spec)]
+        within = ", ".join(f"CASE WHEN {belongs(spec)} THEN {expression} END" for expression in order)
+        rank = f"row_number() OVER (PARTITION BY {group} ORDER BY {within}) AS __rank"
+        summary = summary.selectExpr("*", rank).where(f"__rank <= {chart.top}").drop("__rank")
+    return summary
+
+
 def _document(chart: Chart, rows: str) -> str:
     """Parallel lists of a chart, in the shape it is served in."""
     if not chart.titled:
@@ -73,7 +88,7 @@ def _charts_of(source: str) -> list[Chart]:
 def _folded(spark: SparkSession, summaries: dict[str, DataFrame]) -> DataFrame:
     """One row with the ordered rows of every chart and the raw value of every KPI."""
     parts = [
-        summary.selectExpr(*named({
+        _limited(source, summary).selectExpr(*named({
             **{chart.name: _from_summary(chart) for chart in _charts_of(source)},
             **{f"kpi_{k.name}": kpis.from_summary(k) for k in kpis.of_source(source)},
         }))
@@ -137,8 +152,8 @@ def chart_json(spark: SparkSession, chart: Chart, aggregated: DataFrame | None)
     if aggregated is None:
         return spark.range(1).selectExpr(_json(_absent(chart)))
     key = chart.spec.key
-    rows = _ordered_rows(chart, f"{key} IS NOT NULL", key, lambda alias: f"`{alias}`")
-    return aggregated.selectExpr(f"{rows} AS rows").selectExpr(_json(_document(chart, "rows")))
+    rows = _ordered_rows(chart, "true", key, lambda alias: f"`{alias}`")
+    return shown(chart, aggregated).selectExpr(f"{rows} AS rows").selectExpr(_json(_document(chart, "rows")))
 
 
 def kpi_json(kpi_frame: DataFrame) -> DataFrame:

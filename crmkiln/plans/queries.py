@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -63,28 +61,14 @@ def records_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.check(
-        spark,
-        {n: processed(spark, sf_dir, n, quality.columns_of(n)) for n in quality.RULES},
-        quality.filled_summaries(summaries(spark, sf_dir)))
-
-
-def work_directory(spark: SparkSession) -> str:
-    """A fresh folder in the shared storage the session names in ``spark.checkpoint.dir``. Without
-    that setting, local mode names a temporary folder there; on a cluster it would not be shared."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/layers-{uuid.uuid4().hex}"
+    return quality.check_rows(
+        spark, {n: processed(spark, sf_dir, n, quality.columns_of(n)) for n in schemas.ENTITIES})
 
 
 def layer_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole batch run: builds all layers and reports the rows of every table written. The layers
     go when they are counted."""
-    root = work_directory(spark)
+    root = tables.work_directory(spark, "layers")
     reports = etl.build(spark, root, lambda name: entity(spark, sf_dir, name))
     tables.remove(spark, root)
     return etl.report_frame(spark, reports).drop("seconds")
@@ -93,7 +77,7 @@ def layer_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_layers(spark: SparkSession, sf_dir: str, absent: tuple[str, ...] = ()) -> str:
     """The batch run from raw files on, which are written first: all entities but the absent ones, the
     times of deals as text and those of web sessions as nanoseconds. Gives the folder to serve from."""
-    root = work_directory(spark)
+    root = tables.work_directory(spark, "layers")
     forms = {"deals": "CAST({0} AS STRING)", "web_analytics": "unix_micros(CAST({0} AS TIMESTAMP)) * 1000"}
     with configured(spark):
         entities = {name: entity(spark, sf_dir, name) for name in schemas.ENTITIES if name not in absent}
@@ -103,6 +87,7 @@ def raw_layers(spark: SparkSession, sf_dir: str, absent: tuple[str, ...] = ()) -
                 entities[name] = entities[name].withColumn(time, F.expr(form.format(f"`{time}`")))
         tables.write_raw(entities, root)
     etl.run(spark, root)
+    tables.remove(spark, f"{root}/{tables.RAW}")
     return root
 
 
@@ -126,6 +111,16 @@ def layer_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
         etl.serve_chart(spark, root, name).selectExpr(f"'{name}' AS chart", "payload") for name in CHARTS])
 
 
+def layer_chart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chart as rows from the stored aggregates of a run without deals, whose charts have no rows:
+    (chart, position, label)."""
+    root = raw_layers(spark, sf_dir, absent=("deals",))
+    return reduce(DataFrame.unionByName, [
+        etl.serve_rows(spark, root, name).selectExpr(
+            f"'{name}' AS chart", "position", f"CAST(`{chart.label_name}` AS STRING) AS label")
+        for name, chart in CHARTS.items()])
+
+
 def layer_payload(spark: SparkSession, sf_dir: str, absent: tuple[str, ...] = ()) -> DataFrame:
     """The document from the stored summaries of a run over raw files."""
     return etl.serve_payload(spark, raw_layers(spark, sf_dir, absent))
@@ -160,6 +155,7 @@ def registry() -> dict[str, Query]:
         "layer_row_counts": layer_row_counts,
         "layer_aggregates": layer_aggregates,
         "layer_charts": layer_charts,
+        "layer_chart_rows": layer_chart_rows,
         "layer_payload": layer_payload,
         "layer_payload_without_deals": partial(layer_payload, absent=("deals",)),
     })

@@ -1,16 +1,19 @@
 """Parquet layers: one ``<name>.parquet`` per table under raw/, processed/, summaries/, aggregated/.
 
-What a run builds is a version of its own, ``<root>/versions/<number>``. It is served from the moment
-that an empty file ``<root>/published/<number>`` exists; until then, and where a run fails, the version
-before it is served whole.
+What a run builds is a version of its own, ``<root>/versions/<version>``. It is served from the moment that an
+empty file ``<root>/published/<number>.<version>`` exists; until then, and where a run fails, the version before
+it is served whole. Numbers are handed out when a run publishes, one after the other: a run claims the next one by
+creating ``<root>/claims/<number>``, which only one can. The run that ends last is served, whenever it started.
 """
 
 from __future__ import annotations
 
+import tempfile
 import time
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -40,33 +43,90 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _published(spark: SparkSession, root: str) -> list[str]:
-    files, place = _folder(spark, f"{root.rstrip('/')}/published")
+def work_directory(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder in the shared storage the session names in ``spark.checkpoint.dir``. Without
+    that setting, local mode names a temporary folder there; on a cluster it would not be shared."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    files, place = _folder(spark, path)
     if not files.exists(place):
         return []
     return sorted(status.getPath().getName() for status in files.listStatus(place))
 
 
+def _published(spark: SparkSession, root: str) -> list[str]:
+    """Names of published files, in the order of publication."""
+    return _names(spark, f"{root.rstrip('/')}/published")
+
+
+def _version_of(published_name: str) -> str:
+    # Without a number of its own where a former release published it: those are ordered by the version's time.
+    return published_name.rpartition(".")[2]
+
+
+def _number_of(name: str) -> int:
+    return int(name.partition(".")[0].partition("-")[0])
+
+
 def new_version(spark: SparkSession, root: str) -> str:
-    """A folder for a run to build its layers in. Numbers rise with time."""
+    """A folder for a run to build its layers in; its name begins with the time the run starts."""
     return f"{root.rstrip('/')}/versions/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
 def published(spark: SparkSession, root: str) -> str:
     """Where the layers lie that are served now: the last published version, or the root itself."""
-    numbers = _published(spark, root)
-    return f"{root.rstrip('/')}/versions/{numbers[-1]}" if numbers else root
-
-
-def publish(spark: SparkSession, root: str, version: str) -> None:
-    """Serve a version from now on, and remove those before the last two: readers of the previous one
-    may still be at work."""
-    number = version.rsplit("/", 1)[-1]
-    files, place = _folder(spark, f"{root.rstrip('/')}/published/{number}")
-    files.create(place, False).close()
-    for old in _published(spark, root)[:-2]:
-        remove(spark, f"{root.rstrip('/')}/published/{old}")
-        remove(spark, f"{root.rstrip('/')}/versions/{old}")
+    names = _published(spark, root)
+    return f"{root.rstrip('/')}/versions/{_version_of(names[-1])}" if names else root
+
+
+def _create(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False where another run has created it."""
+    files, place = _folder(spark, path)
+    try:
+        files.create(place, False).close()
+        return True
+    except Py4JJavaError:
+        if files.exists(place):
+            return False
+        raise
+
+
+def _claim(spark: SparkSession, root: str) -> str:
+    """The next number of publication; no two runs get the same."""
+    while True:
+        taken = _names(spark, f"{root}/claims") + _published(spark, root)
+        number = f"{max(map(_number_of, taken), default=0) + 1:020d}"
+        if _create(spark, f"{root}/claims/{number}"):
+            return number
+
+
+def publish(spark: SparkSession, root: str, version: str, abandoned_after: float = 7 * 86400) -> None:
+    """Serve a version from now on, and remove what is not needed any more: published versions before the last two
+    (readers of the previous one may still be at work), their claims, and versions never published whose
+    run started more than ``abandoned_after`` seconds ago, as runs that were killed leave them."""
+    root = root.rstrip("/")
+    name = version.rstrip("/").rsplit("/", 1)[-1]
+    _create(spark, f"{root}/published/{_claim(spark, root)}.{name}")
+    served = _published(spark, root)
+    for old in served[:-2]:
+        remove(spark, f"{root}/published/{old}")
+        remove(spark, f"{root}/versions/{_version_of(old)}")
+    for claim in _names(spark, f"{root}/claims"):
+        if _number_of(claim) < _number_of(served[-1]):
+            remove(spark, f"{root}/claims/{claim}")
+    kept = {_version_of(entry) for entry in served}
+    oldest = time.time_ns() - int(abandoned_after * 1e9)
+    for found in _names(spark, f"{root}/versions"):
+        if found not in kept and _number_of(found) < oldest:
+            remove(spark, f"{root}/versions/{found}")
 
 
 def remove(spark: SparkSession, path: str) -> None:

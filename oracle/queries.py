@@ -363,6 +363,15 @@ def _written() -> str:
     return with_entities(" UNION ALL ".join(parts), *FEATURES)
 
 
+def _stored_rows(absent: tuple[str, ...]) -> str:
+    parts = [
+        f"""SELECT '{name}' AS chart, position, CAST({_ORDERED[name][2].split(" AS ")[-1]} AS VARCHAR) AS label
+            FROM ({chart(name)}) c"""
+        for name in _ORDERED if _chart_entity(name) not in absent
+    ]
+    return with_entities(" UNION ALL ".join(parts), *FEATURES)
+
+
 def feature_sql(entity: str) -> str:
     return processed(entity)
 
@@ -392,6 +401,7 @@ OTHER = {
     "dashboard_payload": _payload(),
     "layer_aggregates": _stored_numbers(),
     "layer_charts": _stored_charts(absent=("marketing_events",)),
+    "layer_chart_rows": _stored_rows(absent=("deals",)),
     "layer_payload": _payload(),
     "layer_payload_without_deals": _payload(absent=("deals",)),
 }

@@ -99,7 +99,9 @@ def test_kpis_of_empty_and_absent_tables(spark):
 def _checked(spark, rows):
     df = deals(spark, rows)
     filled = quality.filled_summaries({"deals": aggregates.summarize("deals", df)})
-    return {row.check: row.violations for row in quality.check(spark, {"deals": df}, filled).collect()}
+    found = {row.check: row.violations for row in quality.check(spark, {"deals": df}, filled).collect()}
+    assert found == {row.check: row.violations for row in quality.check_rows(spark, {"deals": df}).collect()}
+    return found
 
 
 def test_quality_finds_violations(spark):

@@ -16,10 +16,13 @@ def aggregated(spark, name, rows):
     return aggregates.aggregate(spec, df)
 
 
-def frame(spark, chart_name, rows):
+def frame_of(spark, chart_name, rows):
     chart = CHARTS[chart_name]
-    df = charts.chart_frame(chart, aggregated(spark, chart.aggregate, rows))
-    return df.orderBy("position").collect()
+    return charts.chart_frame(chart, aggregated(spark, chart.aggregate, rows))
+
+
+def frame(spark, chart_name, rows):
+    return frame_of(spark, chart_name, rows).orderBy("position").collect()
 
 
 def test_stage_order_with_unknown_stage_last(spark):
@@ -49,6 +52,24 @@ def test_all_pages_are_shown(spark):
     assert len(frame(spark, "web_top_pages", rows)) == 40
 
 
+def test_a_million_pages_are_ranked_in_many_tasks(spark):
+    pages = spark.range(1_000_000).selectExpr(
+        "concat('/', id) AS page_url", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 1000 END AS sessions",
+        "0.5D AS bounce_rate", "0.25D AS conversion_rate", "id AS unread")
+    df = charts.chart_frame(CHARTS["web_top_pages"], pages)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert all("__part" in line for line in text.splitlines() if " Window [" in line)
+    got = df.select("position", "page_url", "sessions").toPandas().sort_values("position")
+    assert list(got.position) == list(range(1, 1_000_001))
+    rows = list(zip(-got.sessions, got.page_url))
+    assert rows == sorted(rows)
+
+
+def test_no_pages(spark):
+    df = charts.traffic_share(frame_of(spark, "web_top_pages", []))
+    assert df.collect() == [] and df.columns[-1] == "traffic_share"
+
+
 def test_rates_are_percent_and_rounded(spark):
     rows = [session(i, bounce=int(i < 1), conversion=int(i < 2)) for i in range(7)]
     row = frame(spark, "web_top_pages", rows)[0]
@@ -110,6 +131,23 @@ def test_dashboard_document_holds_every_chart(spark, sf_dir):
             assert {type(value) for value in lists[series.name]} == {kind}, (name, series.name)
 
 
+def test_document_keeps_the_first_countries_before_it_collects(spark):
+    rows = [session(i, country=f"C{i:02d}") for i in range(17)] + [session(99, country="C16")]
+    df = features.process("web_analytics", entity(spark, "web_analytics", rows))
+    found = dashboard.payload(spark, {"web_analytics": aggregates.summarize("web_analytics", df)})
+    document = json.loads(found.first().payload)
+    assert document["web_by_country"]["labels"] == ["C16"] + [f"C{i:02d}" for i in range(14)]
+    assert document["web_top_pages"] == {
+        "labels": ["/"], "sessions": [18], "bounce_rate": document["web_top_pages"]["bounce_rate"],
+        "conversion_rate": document["web_top_pages"]["conversion_rate"]}
+    assert document["kpis"]["total_sessions"] == 18
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("WindowGroupLimit") == 2 and "Partial" in text
+    table = aggregated(spark, "web_by_country", rows)
+    single = json.loads(dashboard.chart_json(spark, CHARTS["web_by_country"], table).first().payload)
+    assert single == document["web_by_country"]
+
+
 def test_document_without_tables(spark):
     document = json.loads(dashboard.payload(spark, {}).first().payload)
     assert document["web_trend"] == {"labels": [], "datasets": []}

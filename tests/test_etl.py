@@ -3,11 +3,13 @@
 import datetime as dt
 import glob
 import json
+import time
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+
 import pytest
 
 from compare import spark_table
@@ -227,6 +229,64 @@ def test_served_figures_outlive_a_failed_run(spark, sf_dir, tmp_path):
     assert len(list((tmp_path / "versions").iterdir())) == 2
 
 
+def built(root, version, mark):
+    """A version of one file, without a Spark job."""
+    folder = root / "versions" / version.rsplit("/", 1)[-1]
+    folder.mkdir(parents=True)
+    (folder / mark).write_text(mark)
+
+
+def test_the_run_that_ends_last_is_served(spark, tmp_path):
+    root = str(tmp_path)
+    early, late = tables.new_version(spark, root), tables.new_version(spark, root)
+    built(tmp_path, early, "early")
+    built(tmp_path, late, "late")
+    tables.publish(spark, root, late)
+    assert tables.published(spark, root) == late
+    tables.publish(spark, root, early)
+    assert tables.published(spark, root) == early
+    for _ in range(2):
+        newest = tables.new_version(spark, root)
+        built(tmp_path, newest, "newest")
+        tables.publish(spark, root, newest)
+        assert tables.published(spark, root) == newest
+    assert early.rsplit("/", 1)[-1] not in {found.name for found in (tmp_path / "versions").iterdir()}
+    assert len(list((tmp_path / "versions").iterdir())) == 2
+
+
+def test_claims_of_killed_runs_do_not_hold_up_others(spark, tmp_path):
+    root = str(tmp_path)
+    (tmp_path / "claims").mkdir()
+    (tmp_path / "claims" / f"{1:020d}").write_text("")  # a run that was killed before it published
+    version = tables.new_version(spark, root)
+    built(tmp_path, version, "whole")
+    tables.publish(spark, root, version)
+    assert tables.published(spark, root) == version
+
+
+def test_versions_of_killed_runs_are_removed(spark, tmp_path):
+    root = str(tmp_path)
+    killed = f"{root}/versions/{time.time_ns() - 8 * 86400 * 10**9:020d}-killed"
+    running, done = tables.new_version(spark, root), tables.new_version(spark, root)
+    for version in (killed, running, done):
+        built(tmp_path, version, "part")
+    tables.publish(spark, root, done)
+    assert {found.name for found in (tmp_path / "versions").iterdir()} == {
+        running.rsplit("/", 1)[-1], done.rsplit("/", 1)[-1]}
+
+
+def test_a_store_of_a_former_release_goes_on(spark, tmp_path):
+    root = str(tmp_path)
+    former, version = tables.new_version(spark, root), tables.new_version(spark, root)
+    built(tmp_path, former, "former")
+    (tmp_path / "published").mkdir()
+    (tmp_path / "published" / former.rsplit("/", 1)[-1]).write_text("")
+    assert tables.published(spark, root) == former
+    built(tmp_path, version, "whole")
+    tables.publish(spark, root, version)
+    assert tables.published(spark, root) == version
+
+
 def test_a_run_leaves_the_session_as_found(spark, sf_dir, tmp_path):
     tables.write_raw({"contacts": entity(spark, sf_dir, "contacts")}, str(tmp_path))
     try:

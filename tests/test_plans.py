@@ -60,6 +60,12 @@ def test_one_scan_per_entity_in_the_document(spark, sf_dir):
     assert text.count("Expand") == 7
 
 
+def test_quality_scans_each_entity_once_and_computes_no_aggregate(spark, sf_dir):
+    text = plan(QUERIES["quality_checks"](spark, sf_dir))
+    assert text.count("FileScan parquet") == 7 + 2 + 3 + 2
+    assert "Expand" not in text and "hashpartitioning(grouping" not in text
+
+
 def test_top_k_is_kept_per_task(spark, sf_dir):
     for name in ("chart_web_by_country", "top_industries"):
         assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, sf_dir))
