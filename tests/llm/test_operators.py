@@ -319,6 +319,69 @@ def test_mix_meets_targets(docs):
     assert by_source["b"][0].target >= level - 1e-6
 
 
+def skewed_sources(docs):
+    """Three sources whose documents are from one word to a third of the source; ids far apart."""
+    rng = random.Random(8)
+    sizes = [1, 3, 20, 127, 128, 129, 700, 4000, *[rng.randrange(400) for _ in range(60)]]
+    parts = [docs([(rng.randrange(1 << 60), "\n".join(f"{name}{k}-{i} " for i in range(n))) for k, n in enumerate(sizes)],
+                  source=name) for name in "abc"]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def test_mixed_documents_meet_targets_with_skewed_lengths(docs):
+    frame = skewed_sources(docs)
+    texts = {row.doc_id: row.text for row in frame.collect()}
+    wanted = {row.source: row.target for row in mixing.taken(frame).select("source", "target").distinct().collect()}
+    found, whole = collections.Counter(), 0
+    for row in mixing.mixed_documents(frame, DOCUMENT_COLUMNS).collect():
+        assert row.text in texts[row.doc_id] and row.n_chars == len(row.text)
+        whole += row.text == texts[row.doc_id]
+        # A word occurs once in its text, so pieces of a row never hold one more often than twice.
+        found.update(SPACED.findall(row.text))
+    assert max(found.values()) == 2 and whole > 60
+    per_source = collections.Counter()
+    for word, n in found.items():
+        per_source[word[0]] += n
+    for source, target in wanted.items():
+        assert abs(per_source[source] - target) <= mixing.STAGE_BLOCK_WORDS
+
+
+def test_packed_slots_hold_what_is_taken(docs):
+    frame = skewed_sources(docs)
+    slots = mixing.packed(frame).collect()
+    taken = {row.doc_id: row.taken for row in mixing.taken(frame).collect()}
+    held = collections.Counter()
+    for row in slots:
+        words = [(piece.doc_id, word) for piece in row.pieces for word in SPACED.findall(piece.text)]
+        assert len(words) == row.n_words <= mixing.BLOCK_WORDS and all(word[0] == row.source for _, word in words)
+        held.update(doc_id for doc_id, _ in words)
+    assert {k: n for k, n in taken.items() if n} == dict(held)
+    assert len({(row.source, row.slot) for row in slots}) == len(slots)
+
+
+def test_slots_are_dealt_to_shards_by_weight(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 200)
+    sources = spark.createDataFrame([(0, 64_000, 96_000.0), (1, 64_000, 32_000.0)], "rank int, source_size long, target double")
+    counts = collections.Counter((row.shard, row["rank"]) for row in mixing.slots(sources).collect())
+    shards = {shard for shard, _ in counts}
+    assert len(shards) == 11 and sum(counts.values()) == 2000
+    # Counts are drawn: they spread about the mean as multinomial ones do, and are not all the same.
+    for k, mean in ((0, 1500 / 11), (1, 500 / 11)):
+        own = [counts[shard, k] for shard in shards]
+        assert len(set(own)) > 3 and all(abs(n - mean) < 5 * mean ** 0.5 for n in own)
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 40])
+def test_places_are_one_stream_whatever_the_ids(docs, scale):
+    frame = docs([(k * scale, "w " * (k % 7)) for k in range(500)] + [(None, "w")] * 3, source="a")
+    rows, _ = mixing.stream(frame)
+    at = 0
+    for row in sorted(rows.where("size > 0").collect(), key=lambda row: row.start):
+        assert row.start == at
+        at += row["size"]
+    assert at == sum(k % 7 for k in range(500)) + 3
+
+
 def test_near_duplicates(docs):
     rows = noisy_copies(3, (3, 8, 10, 15, 40, 120)) + [(1, None), (2, "  "), (3, "A b"), (4, "a B")]
     sets, groups = {}, {doc_id: doc_id for doc_id, _ in rows}
@@ -416,6 +479,8 @@ def _run(spark, name, frame):
         "pii": lambda: pii.digests(frame),
         "bytes": lambda: suffix_dedup.digests(frame),
         "mix": lambda: mixing.taken(frame),
+        "mixed": lambda: mixing.mixed_documents(frame, DOCUMENT_COLUMNS),
+        "packed": lambda: mixing.packed(frame),
         "words": lambda: substring_dedup.digests(frame),
         "join": lambda: ngram_join.digests(frame),
         "benchmark": lambda: decontaminate.judged(decontaminate.benchmark_hits(frame, benchmark)),
@@ -432,3 +497,10 @@ def test_odd_rows_and_empty_tables(spark, odd, empty, name):
     once = sorted(map(repr, _run(spark, name, odd).collect()))
     assert len(once) == odd.count() and once == sorted(map(repr, _run(spark, name, odd).collect()))
     assert _run(spark, name, empty).collect() == []
+
+
+@pytest.mark.parametrize("name", ["mixed", "packed"])
+def test_mix_of_odd_rows(spark, odd, empty, name):
+    once = sorted(map(repr, _run(spark, name, odd).collect()))
+    assert once and once == sorted(map(repr, _run(spark, name, odd).collect()))
+    assert _run(spark, name, empty).collect() == []
