@@ -40,7 +40,7 @@ STAGE_BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
 ROUNDS = 10
 RUN_ROWS = 32
-RUN_GROUP = 4096
+RUN_GROUP = 64
 CHUNK = 1 << 12
 
 _WORD = r"[^\x20\x09-\x0D]+"
