@@ -74,7 +74,9 @@ def layer_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.report_frame(spark, reports).drop("seconds")
 
 
-def raw_layers(spark: SparkSession, sf_dir: str, absent: tuple[str, ...] = ()) -> str:
+def raw_layers(
+    spark: SparkSession, sf_dir: str, absent: tuple[str, ...] = (), keep_raw: bool = False
+) -> str:
     """The batch run from raw files on, which are written first: all entities but the absent ones, the
     times of deals as text and those of web sessions as nanoseconds. Gives the folder to serve from."""
     root = tables.work_directory(spark, "layers")
@@ -87,7 +89,8 @@ def raw_layers(spark: SparkSession, sf_dir: str, absent: tuple[str, ...] = ()) -
                 entities[name] = entities[name].withColumn(time, F.expr(form.format(f"`{time}`")))
         tables.write_raw(entities, root)
     etl.run(spark, root)
-    tables.remove(spark, f"{root}/{tables.RAW}")
+    if not keep_raw:
+        tables.remove(spark, f"{root}/{tables.RAW}")
     return root
 
 
@@ -121,6 +124,19 @@ def layer_chart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name, chart in CHARTS.items()])
 
 
+def layer_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written, and then served, when the raw contacts have changed since the batch run: those with a lead score
+    below 50 are gone. (layer, name, rows); figures that are served have the layer ``served``."""
+    root = raw_layers(spark, sf_dir, keep_raw=True)
+    with configured(spark):
+        tables.write_raw({"contacts": entity(spark, sf_dir, "contacts").where("lead_score >= 50")}, root)
+    reports = etl.report_frame(spark, etl.refresh(spark, root)).drop("seconds")
+    tables.remove(spark, f"{root}/{tables.RAW}")
+    figures = ["total_contacts", "total_deals", "total_sessions"]
+    served = etl.serve_kpis(spark, root).selectExpr(*[f"CAST({name} AS BIGINT) AS {name}" for name in figures])
+    return reports.unionByName(served.unpivot([], figures, "name", "rows").selectExpr("'served' AS layer", "name", "rows"))
+
+
 def layer_payload(spark: SparkSession, sf_dir: str, absent: tuple[str, ...] = ()) -> DataFrame:
     """The document from the stored summaries of a run over raw files."""
     return etl.serve_payload(spark, raw_layers(spark, sf_dir, absent))
@@ -156,6 +172,7 @@ def registry() -> dict[str, Query]:
         "layer_aggregates": layer_aggregates,
         "layer_charts": layer_charts,
         "layer_chart_rows": layer_chart_rows,
+        "layer_refresh": layer_refresh,
         "layer_payload": layer_payload,
         "layer_payload_without_deals": partial(layer_payload, absent=("deals",)),
     })

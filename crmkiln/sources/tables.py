@@ -8,6 +8,7 @@ creating ``<root>/claims/<number>``, which only one can. The run that ends last
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import time
 import uuid
@@ -43,6 +44,11 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _folder(spark, path)
+    return files.exists(place)
+
+
 def work_directory(spark: SparkSession, purpose: str) -> str:
     """A fresh folder in the shared storage the session names in ``spark.checkpoint.dir``. Without
     that setting, local mode names a temporary folder there; on a cluster it would not be shared."""
@@ -108,25 +114,75 @@ def _claim(spark: SparkSession, root: str) -> str:
             return number
 
 
+@dataclass(frozen=True)
+class Holding:
+    """Where the tables of an entity lie, and the fingerprint of what they were built from."""
+
+    fingerprint: str
+    holder: str
+
+
+def fingerprint(spark: SparkSession, path: str, rules: str) -> str | None:
+    """A hash of paths, sizes and times of all files of a table, and of the rules that are applied to them; None where
+    there is no table. No file is opened; Spark lists large tables in its tasks, and sums hashes of files."""
+    if not exists(spark, path):
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    of_file = "xxhash64({0}, path, length, modificationTime)"
+    sums = [f"sum(CAST({of_file.format(seed)} AS DECIMAL(38, 0)))" for seed in (1, 2)]
+    found = files.selectExpr("path", "length", "modificationTime").agg(
+        F.count(F.lit(1)), F.sum("length"), *map(F.expr, sums)).first()
+    return hashlib.sha256(f"{rules} {tuple(found)}".encode()).hexdigest()
+
+
+def hold(spark: SparkSession, version: str, entity: str, holding: Holding) -> None:
+    """Note in a version where the tables of an entity lie."""
+    _create(spark, f"{version}/entities/{entity}.{holding.fingerprint}.{holding.holder}")
+
+
+def holdings(spark: SparkSession, version: str) -> dict[str, Holding]:
+    """What is noted in a version; nothing in those of former releases, which hold all of their tables."""
+    notes = [name.split(".") for name in _names(spark, f"{version}/entities")]
+    return {entity: Holding(mark, holder) for entity, mark, holder in notes}
+
+
+def holder_path(spark: SparkSession, root: str, version: str, entity: str) -> str:
+    """The folder whose layers have the tables of an entity in a version."""
+    held = holdings(spark, version).get(entity)
+    return f"{root.rstrip('/')}/versions/{held.holder}" if held else version
+
+
 def publish(spark: SparkSession, root: str, version: str, abandoned_after: float = 7 * 86400) -> None:
     """Serve a version from now on, and remove what is not needed any more: published versions before the last two
     (readers of the previous one may still be at work), their claims, and versions never published whose
-    run started more than ``abandoned_after`` seconds ago, as runs that were killed leave them."""
+    run started more than ``abandoned_after`` seconds ago, as runs that were killed leave them. What a version that
+    stays refers to stays as well. A version that refers to one that is gone is not published."""
     root = root.rstrip("/")
     name = version.rstrip("/").rsplit("/", 1)[-1]
+    gone = [held.holder for held in holdings(spark, version).values()
+            if held.holder != name and not exists(spark, f"{root}/versions/{held.holder}")]
+    if gone:
+        raise FileNotFoundError(f"versions that {name} refers to are gone: {', '.join(sorted(gone))}")
     _create(spark, f"{root}/published/{_claim(spark, root)}.{name}")
     served = _published(spark, root)
     for old in served[:-2]:
         remove(spark, f"{root}/published/{old}")
-        remove(spark, f"{root}/versions/{_version_of(old)}")
     for claim in _names(spark, f"{root}/claims"):
         if _number_of(claim) < _number_of(served[-1]):
             remove(spark, f"{root}/claims/{claim}")
-    kept = {_version_of(entry) for entry in served}
     oldest = time.time_ns() - int(abandoned_after * 1e9)
-    for found in _names(spark, f"{root}/versions"):
-        if found not in kept and _number_of(found) < oldest:
-            remove(spark, f"{root}/versions/{found}")
+    dropped = {_version_of(old) for old in served[:-2]}
+    found = _names(spark, f"{root}/versions")
+    # A version that only others refer to is not published any more; its notes say so after those are gone.
+    dropped |= {entry for entry in found if exists(spark, f"{root}/versions/{entry}/retired")}
+    kept = {_version_of(entry) for entry in served[-2:]}
+    kept |= {entry for entry in found if entry not in dropped and _number_of(entry) >= oldest}
+    kept |= {held.holder for entry in kept for held in holdings(spark, f"{root}/versions/{entry}").values()}
+    for entry in found:
+        if entry not in kept:
+            remove(spark, f"{root}/versions/{entry}")
+        elif entry in dropped:
+            _create(spark, f"{root}/versions/{entry}/retired")
 
 
 def remove(spark: SparkSession, path: str) -> None:

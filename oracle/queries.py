@@ -363,6 +363,23 @@ def _written() -> str:
     return with_entities(" UNION ALL ".join(parts), *FEATURES)
 
 
+def _refreshed() -> str:
+    """Row counts of the layers of contacts, of which those with a low lead score are gone, and totals."""
+    keys = [key for source, key, _ in _GROUPED.values() if source == "contacts"]
+    groups = " + ".join(f"(SELECT COUNT(DISTINCT {key}) FROM contacts)" for key in keys)
+    parts = [
+        "SELECT 'processed' AS layer, 'contacts' AS name, COUNT(*) AS \"rows\" FROM contacts",
+        f"SELECT 'summaries', 'contacts', CAST({groups} + 1 AS BIGINT)",
+        *[f"SELECT 'aggregated', '{table}', COUNT(*) FROM ({grouped(table)}) g"
+          for table, (source, _, _) in _GROUPED.items() if source == "contacts"],
+        *[f"SELECT 'served', '{figure}', COUNT(*) FROM ({rows}) t" for figure, rows in {
+            "total_contacts": "SELECT 1 FROM contacts", "total_deals": processed("deals"),
+            "total_sessions": processed("web_analytics")}.items()],
+    ]
+    body = " UNION ALL ".join(parts)
+    return f"WITH contacts AS (SELECT * FROM ({processed('contacts')}) c WHERE lead_score >= 50) {body}"
+
+
 def _stored_rows(absent: tuple[str, ...]) -> str:
     parts = [
         f"""SELECT '{name}' AS chart, position, CAST({_ORDERED[name][2].split(" AS ")[-1]} AS VARCHAR) AS label
@@ -402,6 +419,7 @@ OTHER = {
     "layer_aggregates": _stored_numbers(),
     "layer_charts": _stored_charts(absent=("marketing_events",)),
     "layer_chart_rows": _stored_rows(absent=("deals",)),
+    "layer_refresh": _refreshed(),
     "layer_payload": _payload(),
     "layer_payload_without_deals": _payload(absent=("deals",)),
 }

@@ -287,6 +287,69 @@ def test_a_store_of_a_former_release_goes_on(spark, tmp_path):
     assert tables.published(spark, root) == version
 
 
+def versions_of(root):
+    return {found.name for found in (root / "versions").iterdir()}
+
+
+def test_refresh_builds_what_has_changed(spark, sf_dir, tmp_path):
+    root = str(tmp_path)
+    tables.write_raw({name: entity(spark, sf_dir, name) for name in ("contacts", "companies")}, root)
+    assert {r.name for r in etl.refresh(spark, root) if r.layer == "processed"} == {"contacts", "companies"}
+    first, before = tables.published(spark, root), etl.serve_kpis(spark, root).first()
+    files = sorted(glob.glob(f"{root}/versions/**/*", recursive=True))
+    assert etl.refresh(spark, root) == []
+    assert tables.published(spark, root) == first
+    assert sorted(glob.glob(f"{root}/versions/**/*", recursive=True)) == files
+
+    tables.write_raw({"contacts": entity(spark, sf_dir, "contacts").where("lead_score >= 50")}, root)
+    assert {(r.layer, r.name) for r in etl.refresh(spark, root)} == {
+        ("processed", "contacts"), ("summaries", "contacts"),
+        ("aggregated", "contacts_by_lifecycle"), ("aggregated", "contacts_by_source")}
+    second = tables.published(spark, root)
+    assert not glob.glob(f"{second}/*/companies*.parquet") and glob.glob(f"{second}/*/contacts*.parquet")
+    after = etl.serve_kpis(spark, root).first()
+    assert 0 < after.total_contacts < before.total_contacts
+    assert {name: df.count() for name, df in etl.stored(spark, root, "processed", schemas.ENTITIES).items()} == {
+        "contacts": after.total_contacts, "companies": entity(spark, sf_dir, "companies").count()}
+    of_companies = next(name for name, chart in CHARTS.items() if chart.spec.source == "companies")
+    assert etl.serve_rows(spark, root, of_companies).count() > 0
+
+    # Later refreshes keep the version that still holds the companies, and drop it when it holds nothing.
+    for score in (60, 70):
+        tables.write_raw({"contacts": entity(spark, sf_dir, "contacts").where(f"lead_score >= {score}")}, root)
+        etl.refresh(spark, root)
+    assert first.rsplit("/", 1)[-1] in versions_of(tmp_path) and second.rsplit("/", 1)[-1] not in versions_of(tmp_path)
+    for _ in range(2):
+        etl.run(spark, root)
+    assert len(versions_of(tmp_path)) == 2 and first.rsplit("/", 1)[-1] not in versions_of(tmp_path)
+
+    # An entity that is gone is served no more.
+    tables.remove(spark, tables.table_path(root, tables.RAW, "companies"))
+    assert etl.refresh(spark, root) == []
+    assert set(etl.stored(spark, root, "processed", schemas.ENTITIES)) == {"contacts"}
+
+
+def test_refresh_follows_the_rules(spark, sf_dir, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    tables.write_raw({"companies": entity(spark, sf_dir, "companies")}, root)
+    built_first = [(r.layer, r.name, r.rows) for r in etl.run(spark, root)]
+    assert etl.refresh(spark, root) == []
+    monkeypatch.setattr(etl, "_rules", lambda: "other rules")
+    assert [(r.layer, r.name, r.rows) for r in etl.refresh(spark, root)] == built_first
+
+
+def test_a_version_whose_tables_are_gone_is_not_published(spark, tmp_path):
+    root = str(tmp_path)
+    served, version = tables.new_version(spark, root), tables.new_version(spark, root)
+    built(tmp_path, served, "whole")
+    tables.publish(spark, root, served)
+    built(tmp_path, version, "part")
+    tables.hold(spark, version, "deals", tables.Holding("mark", "gone"))
+    with pytest.raises(FileNotFoundError, match="gone"):
+        tables.publish(spark, root, version)
+    assert tables.published(spark, root) == served
+
+
 def test_a_run_leaves_the_session_as_found(spark, sf_dir, tmp_path):
     tables.write_raw({"contacts": entity(spark, sf_dir, "contacts")}, str(tmp_path))
     try:
