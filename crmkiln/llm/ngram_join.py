@@ -16,6 +16,11 @@ searched for further pairs, behind an exact lower bound of the difference (xor o
 verified and joined in. Pairs inside one component need no check: the classes are the same. Verification
 intersects the whole sets.
 
+At low thresholds the index has more entries than the sets have tokens. A join may first drop the sets that cannot link:
+a token that no other set has is in no intersection, so a set has no partner if the others are fewer than the threshold's
+share of it. Such lone tokens are counted in a part of the token universe only; what is not counted drops nothing.
+Copies and frequent tokens combine in the tasks before that count's shuffle.
+
 Node ids and tokens are 64-bit hashes (tokens keep 48 bits within a pair): among n different texts the
 chance that any two share an id is about n**2 / 2**65.
 
@@ -43,6 +48,8 @@ THRESHOLD = 85
 BAND_POWER = 2
 ACCIDENT = 256
 SKETCH_WORDS = 16
+#: Hundredths of the token universe in which lone tokens are counted, where they are.
+PROBED = 30
 
 
 def bands(largest: int, threshold: int = THRESHOLD) -> list[tuple[int, int, int, int]]:
@@ -188,6 +195,26 @@ def index_entries(rows: DataFrame, largest: int, threshold: int, shingle: int =
     return rows.select("text").mapInArrow(build, "key long, node long")
 
 
+def linkable(rows: DataFrame, nodes: DataFrame, threshold: int, shingle: int, probed: int) -> DataFrame:
+    """One row (of ``nodes``) of every set that may link, by the lone tokens among ``probed`` hundredths of all."""
+    limit = np.uint64(min((1 << 64) * probed // 100, (1 << 64) - 1))
+
+    def build(batches):
+        for batch in batches:
+            for _, _, tokens, bounds in token_sets(batch.column(0), shingle):
+                chosen = tokens < limit
+                owners = np.repeat(node_ids(tokens, bounds), np.diff(bounds))[chosen]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens[chosen].view(np.int64)), pa.array(owners)], ["token", "node"])
+
+    lone = rows.select("text").mapInArrow(build, "token long, node long").groupBy("token").agg(
+        F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(
+        F.count("*").alias("lone"))
+    sets = nodes.where("n_shingles > 0").groupBy("node", "n_shingles").agg(F.min(ROW).alias(ROW))
+    return sets.join(lone, "node", "left").where(
+        f"100 * (n_shingles - coalesce(lone, 0)) >= {threshold} * n_shingles").drop("lone")
+
+
 def shared_keys(entries: DataFrame) -> DataFrame:
     """The entries of keys with several nodes, each once. One pass over sorted entries; a key of any
     size streams through."""
@@ -279,8 +306,13 @@ def verified(pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long")
 
 
-def links(rows: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+def links(
+    rows: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, probed: int = 0,
+) -> DataFrame:
     """``node`` and ``component`` of the nodes that are linked with others."""
+    if probed:
+        nodes = saved(linkable(rows, nodes, threshold, shingle, probed), "linkable")
+        rows = saved(rows.select(ROW, "text").join(nodes.select(ROW), ROW, "left_semi"), "texts")
     largest = nodes.agg(F.max("n_shingles")).first()[0] or 0
     shared = saved(shared_keys(index_entries(rows, largest, threshold, shingle)), "shared")
     degrees = shared.groupBy("node").agg(F.count("*").alias("degree"))
@@ -304,8 +336,15 @@ def links(rows: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD, shingle
     # Keys that still hold several components: pairs between those, behind the sketches' lower bound.
     labelled = saved(shared.join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
-        "low < high").select("key")
+    # Of keys with the same nodes one is enough; node sets are compared by count, ends and two xors of hashes.
+    same_nodes = {
+        "n_nodes": F.count("*"), "first": F.min("node"), "last": F.max("node"),
+        "xor": F.bit_xor("node"), "xor_hashed": F.bit_xor(F.xxhash64("node")),
+    }
+    mixed = labelled.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        *[value.alias(name) for name, value in same_nodes.items()]).where("low < high").groupBy(*same_nodes).agg(
+        F.min("key").alias("key")).select("key")
     sketches = sets.drop("tokens", "leader")
     open_keys = saved(labelled.join(mixed, "key", "left_semi").join(sketches, "node"), "open")
     right = open_keys.select("key", *[F.col(x).alias(f"{x}_b") for x in open_keys.columns if x != "key"])
@@ -322,11 +361,14 @@ def links(rows: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD, shingle
     return components(edges.union(more))
 
 
-def near_duplicates(rows: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(
+    rows: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, probed: int = 0,
+) -> DataFrame:
     """Row key, ``doc_id``, ``n_shingles``, ``component_id`` and ``component_row`` (the component's
-    first row) of every row that has a key."""
+    first row) of every row that has a key. ``probed``: hundredths of the token universe in which lone tokens are
+    counted first; the rows are the same for any."""
     nodes = saved(nodes_of(rows, shingle), "nodes")
-    linked = links(rows, nodes, threshold, shingle)
+    linked = links(rows, nodes, threshold, shingle, probed)
     labelled = nodes.where("n_shingles > 0").join(linked, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     firsts = labelled.groupBy("component").agg(
@@ -344,5 +386,5 @@ def digests(docs: DataFrame) -> DataFrame:
 def first_documents(docs: DataFrame, columns, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The first row of each component, unchanged."""
     rows = keyed(docs, columns)
-    firsts = near_duplicates(rows, threshold, shingle).where(f"{ROW} = component_row").select(ROW)
+    firsts = near_duplicates(rows, threshold, shingle, PROBED).where(f"{ROW} = component_row").select(ROW)
     return rows.join(firsts, ROW, "left_semi").select(*columns)

@@ -1,8 +1,12 @@
 """The pipeline's stages on the smallest tables."""
 
+import random
+
+import pytest
+
 import corpus_pipeline
 from crmkiln.llm import ngram_join
-from crmkiln.llm.common import DOCUMENT_COLUMNS, table
+from crmkiln.llm.common import DOCUMENT_COLUMNS, ROW, keyed, table
 
 
 def test_stages(spark, sf_dir):
@@ -32,3 +36,79 @@ def test_near_copies_by_five_words(spark, docs):
     assert {row.doc_id for row in left.collect()} == {1, 3}
     # The query's contract is four words and 0.85.
     assert {row.component_id for row in ngram_join.digests(rows).collect()} == {1, 2, 3}
+
+
+def _near_copies(seed):
+    """Texts of 1 to 120 words: groups of near copies, exact copies, a passage that many share, odd ones."""
+    rand = random.Random(seed)
+    passage = " ".join(f"common{k}" for k in range(40))
+    texts = [None, "", " \t ", "one", "one", "one two three four five", "one two three four five six"]
+    for group in range(20):
+        words = [f"g{group}w{k}" for k in range(rand.randint(3, 120))]
+        for _ in range(rand.randint(1, 4)):
+            copy = list(words)
+            for _ in range(rand.randint(0, 3)):
+                copy[rand.randrange(len(copy))] = f"r{rand.random()}"
+            texts.append(" ".join(copy) + (f" {passage}" if rand.random() < 0.4 else ""))
+        texts.append(texts[-1])
+    rand.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def _components(rows, threshold, size):
+    sets = {}
+    for doc_id, text in rows:
+        words = (text or "").lower().split()
+        sets[doc_id] = {tuple(words[k:k + size]) for k in range(max(len(words) - size + 1, min(len(words), 1)))}
+    label = {doc_id: doc_id for doc_id in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("seed, probed", [(1, 0), (1, 30), (2, 100), (3, 30)])
+def test_components_whatever_is_probed(docs, seed, probed):
+    rows = _near_copies(seed)
+    got = ngram_join.near_duplicates(keyed(docs(rows)), 80, 5, probed)
+    assert {row.doc_id: row.component_id for row in got.collect()} == _components(rows, 80, 5)
+
+
+def test_sets_with_lone_tokens_are_not_indexed(docs, monkeypatch):
+    rows = [(k, " ".join(f"d{k}w{j}" for j in range(300))) for k in range(30)]
+    rows.append((30, rows[7][1] + " more"))
+    entries, indexed = [], ngram_join.index_entries
+
+    def counted(texts, *rest):
+        found = indexed(texts, *rest)
+        entries.append((texts.select(ROW).collect(), found.count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "index_entries", counted)
+    left = corpus_pipeline.drop_near_duplicates(docs([]).sparkSession, docs(rows), "")
+    assert {row.doc_id for row in left.collect()} == set(range(30))
+    (kept, n_entries), = entries
+    assert {row[0] for row in kept} == {7, 30}
+    # Before, the index had more entries than the sets have tokens.
+    assert n_entries < sum(len(text.split()) - 4 for _, text in rows) / 4
+
+
+def test_keys_with_the_same_nodes_are_compared_once(docs, monkeypatch):
+    # Two texts that share most of their shingles and yet are not linked share many keys.
+    words = [f"w{k}" for k in range(200)]
+    other = words[:170] + [f"v{k}" for k in range(30)]
+    opened, keep = [], ngram_join.saved
+
+    def noted(frame, name):
+        found = keep(frame, name)
+        if name == "open":
+            opened.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "saved", noted)
+    rows = docs([(1, " ".join(words)), (2, " ".join(other))])
+    got = ngram_join.near_duplicates(keyed(rows), 80, 5)
+    assert {row.component_id for row in got.collect()} == {1, 2}
+    assert opened == [2]
