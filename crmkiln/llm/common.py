@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +33,31 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the tables that were saved since the innermost ``scratch`` of this thread began.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are saved inside go at its end, but for those to keep. Frames made from the others must not be read later."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        paths = _written.get()
+        _written.reset(token)
+        for path in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write the frame to the shared folder and read it back: lineage ends here, and an executor
-    that is lost later costs none of this work."""
+    that is lost later costs none of this work. ``keep``: also after the ``scratch`` it is in."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _written.get() is not None and not keep:
+        _written.get().append(path)
     df.write.option("compression", "zstd").parquet(path)
     del df
     release(spark)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from crmkiln.llm.arrays import (
     FOLDED_VALUES, SPACED, mix, prefix_sums, range_hashes, slices, window_hashes, word_bounds, word_sums,
 )
-from crmkiln.llm.common import ROW, components, keyed, saved
+from crmkiln.llm.common import ROW, components, keyed, saved, scratch
 
 SHINGLE = 4
 #: Similarity threshold in hundredths.
@@ -384,7 +384,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def first_documents(docs: DataFrame, columns, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """The first row of each component, unchanged."""
+    """The first row of each component, unchanged. Only the keys of these rows stay in the shared folder."""
     rows = keyed(docs, columns)
-    firsts = near_duplicates(rows, threshold, shingle, PROBED).where(f"{ROW} = component_row").select(ROW)
+    with scratch(rows.sparkSession):
+        found = near_duplicates(rows, threshold, shingle, PROBED)
+        firsts = saved(found.where(f"{ROW} = component_row").select(ROW), "firsts", keep=True)
     return rows.join(firsts, ROW, "left_semi").select(*columns)

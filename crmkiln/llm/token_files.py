@@ -19,11 +19,13 @@ an empty table gives files without blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import sys
 import threading
 import types
 import uuid
 import zlib
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -38,11 +40,12 @@ MAX_BITS = 16
 CHECKPOINT = 64
 BLOCK_IDS = 1 << 16
 #: After so many seconds without use a process lets go of its tokenizer and words.
-IDLE_SECONDS = 20
+IDLE_SECONDS = 2
 
 
-def _encoder(path: str) -> WordEncoder:
-    """The process's encoder, with the words it remembers, until no task has asked for it for ``IDLE_SECONDS``.
+@contextmanager
+def _encoder(path: str):
+    """The process's encoder, with the words it remembers, until no task has used it for ``IDLE_SECONDS``.
 
     It hangs on a module of its own, because the globals of functions that are sent to tasks last no longer than a
     task, and travel with them.
@@ -50,11 +53,18 @@ def _encoder(path: str) -> WordEncoder:
     held = sys.modules.setdefault("crmkiln_encoders", types.ModuleType("crmkiln_encoders")).__dict__
     if "timer" in held:
         held.pop("timer").cancel()
-    encoder = held.get(path) or held.setdefault(path, WordEncoder(path))
-    held["timer"] = timer = threading.Timer(IDLE_SECONDS, held.clear)
-    timer.daemon = True
-    timer.start()
-    return encoder
+
+    def let_go():
+        held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    try:
+        yield held.get(path) or held.setdefault(path, WordEncoder(path))
+    finally:
+        held["timer"] = timer = threading.Timer(IDLE_SECONDS, let_go)
+        timer.daemon = True
+        timer.start()
 
 
 # ---------------------------------------------------------------------------------------- codes
@@ -151,14 +161,14 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """``doc_id`` and ``ids`` (of ``id_type``, with the end id) of every row."""
 
     def encode(batches):
-        encoder = _encoder(tokenizer_path)
-        width = np.dtype(encoder.kind).itemsize
-        for batch in batches:
-            for first, end, ids, bounds in encoder.encode(batch.column(1), end_id):
-                coded = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), end - first, [None, pa.py_buffer(bounds * width), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), coded.cast(pa.binary())], ["doc_id", "ids"])
+        with _encoder(tokenizer_path) as encoder:
+            width = np.dtype(encoder.kind).itemsize
+            for batch in batches:
+                for first, end, ids, bounds in encoder.encode(batch.column(1), end_id):
+                    coded = pa.LargeBinaryArray.from_buffers(
+                        pa.large_binary(), end - first, [None, pa.py_buffer(bounds * width), pa.py_buffer(ids)])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, end - first), coded.cast(pa.binary())], ["doc_id", "ids"])
 
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return pairs.mapInArrow(encode, "doc_id long, ids binary")
@@ -199,7 +209,8 @@ def write_tokens(
     """Write ``<path>/blocks`` and ``<path>/lengths``, documents in ascending ``doc_id`` order."""
     spark = docs.sparkSession
     ids = common.saved(encoded(docs, tokenizer_path, end_id), "ids")
-    vocabulary = _encoder(tokenizer_path).tokenizer.get_vocab_size()
+    with _encoder(tokenizer_path) as encoder:
+        vocabulary = encoder.tokenizer.get_vocab_size()
     if not 0 <= end_id < vocabulary:
         raise ValueError(f"the end id must be one of the {vocabulary} ids of the tokenizer")
     counts, kind = id_counts(ids, vocabulary), id_type(vocabulary)

@@ -1,12 +1,16 @@
 """The pipeline's stages on the smallest tables."""
 
+import os
 import random
+import sys
+import time
 
 import pytest
 
 import corpus_pipeline
-from crmkiln.llm import ngram_join
-from crmkiln.llm.common import DOCUMENT_COLUMNS, ROW, keyed, table
+from crmkiln.llm import ngram_join, token_files
+from crmkiln.llm.common import DOCUMENT_COLUMNS, ROW, keyed, shared_folder, table
+from crmkiln.llm.queries import tokenizer_path
 
 
 def test_stages(spark, sf_dir):
@@ -112,3 +116,30 @@ def test_keys_with_the_same_nodes_are_compared_once(docs, monkeypatch):
     got = ngram_join.near_duplicates(keyed(rows), 80, 5)
     assert {row.component_id for row in got.collect()} == {1, 2}
     assert opened == [2]
+
+
+def test_near_duplicates_leave_only_the_rows_to_keep(docs, tmp_path):
+    rows = docs(_near_copies(4))
+    spark = rows.sparkSession
+    root = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    left = corpus_pipeline.drop_near_duplicates(spark, rows, "")
+    new = {name.rsplit("-", 1)[0] for name in set(os.listdir(root)) - before if not name.startswith(".")}
+    assert new == {"firsts"}
+    firsts = set(_components(_near_copies(4), 80, 5).values())
+    assert {row.doc_id for row in left.collect()} == firsts
+
+
+def test_encoder_goes_soon_after_its_last_use(docs):
+    rows = docs([(1, "some words"), (2, "more words")])
+
+    def held(batches):
+        import pyarrow as pa
+        for _ in batches:
+            pass
+        names = [x for x in sys.modules.get("crmkiln_encoders", sys).__dict__ if str(x).endswith(".json")]
+        yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], ["n"])
+
+    assert token_files.token_digests(rows, tokenizer_path()).count() == 2
+    time.sleep(5)
+    assert all(row.n == 0 for row in rows.select("doc_id").mapInArrow(held, "n long").collect())
