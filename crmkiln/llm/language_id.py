@@ -36,6 +36,8 @@ SYMBOLS = 1 << BITS
 OWN_SYMBOLS = 48
 REJECTED = 0.001
 SLACK = 1.0
+#: Keys of a run of texts that are scored at once, each in all languages.
+KEYS_AT_ONCE = 1 << 16
 
 HELD_OUT = "coalesce(crc32(CAST(doc_id AS string)) % 3 = 1, false)"
 TRAINING = "coalesce(crc32(CAST(doc_id AS string)) % 3 <> 1, false) AND lang IS NOT NULL AND text IS NOT NULL"
@@ -237,12 +239,18 @@ class LanguageModel:
     def entropies(self, points: np.ndarray, offsets: np.ndarray):
         """Cross-entropy per symbol of each text in each language, and the number of letters."""
         found, bounds = keys(points, offsets, self.table)
-        sums = np.zeros((len(found) + 1, len(self.languages)))
-        np.cumsum(self.scores(found), axis=0, out=sums[1:])
+        sums = np.zeros((len(bounds), len(self.languages)))
+        total = np.zeros(len(self.languages))
+        for first in range(0, len(found), KEYS_AT_ONCE):
+            values = self.scores(found[first:first + KEYS_AT_ONCE])
+            running = np.cumsum(np.concatenate([total[None], values]), axis=0)
+            total = running[-1]
+            low, high = np.searchsorted(bounds, first), np.searchsorted(bounds, first + len(values), "right")
+            sums[low:high] = running[bounds[low:high] - first]
         n = np.diff(bounds)
         has_letter = np.concatenate([[0], np.cumsum(letters()[points])])
         n_letters = has_letter[offsets[1:]] - has_letter[offsets[:-1]]
-        return -(sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1)[:, None], n_letters
+        return -(sums[1:] - sums[:-1]) / np.maximum(n, 1)[:, None], n_letters
 
 
 def trained(docs: DataFrame, training: str = TRAINING) -> LanguageModel:
